@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventweave.llm import bpe, heavy_hitters, terms, together, top_n
+from eventweave.llm import bpe, heavy_hitters, packing, subjects, terms, together, top_n
 from eventweave.session import table
 
 
@@ -48,7 +48,22 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"), ["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p2_found, p2_totals, p3_found, p4_found, p4_pairs, p5_found, p5_words, p6_ids)}
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, or piece of one with more than 2048 tokens: its tokens (begin, n) and its container."""
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, sf, "documents"), table(spark, sf, "subject_labels"), table(spark, sf, "subject_areas")).select("doc_id", "subject")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each subject area and their share of the corpus."""
+    docs, areas = table(spark, sf, "documents"), table(spark, sf, "subject_areas")
+    return subjects.composition(docs, subjects.subjects_of(docs, table(spark, sf, "subject_labels"), areas), areas)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (p2_found, p2_totals, p3_found, p4_found, p4_pairs, p5_found, p5_words, p6_ids, p7_pack, p8_found, p8_shares)}
 
 _MEMBERS = """
   members AS (
