@@ -27,8 +27,9 @@ def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = [p1_found, p1_tokens, p1_reasons]
 
 #: The rules of the line format in SQL; `pieces` are what lies between the double quotes, those at odd (1-based) places outside.
-LINES_SQL = r"""raw AS (SELECT line_id, file_name, line_no, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS raw, CASE WHEN delim = 'tab' THEN chr(9) ELSE ' ' END AS d
-    FROM corpus_lines LEFT JOIN (SELECT file_name, max(delim) AS delim FROM corpus_files GROUP BY 1) USING (file_name)),
+LINES_SQL = r"""source AS (SELECT * FROM corpus_lines),
+  raw AS (SELECT line_id, file_name, line_no, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS raw, CASE WHEN delim = 'tab' THEN chr(9) ELSE ' ' END AS d
+    FROM source LEFT JOIN (SELECT file_name, max(delim) AS delim FROM corpus_files GROUP BY 1) USING (file_name)),
   cut AS (SELECT *, string_split(raw, '"') AS pieces FROM raw WHERE raw <> ''),
   quotes AS (SELECT *, len(pieces) AS n, list_transform(pieces, lambda x, i: i % 2 = 0 OR (x = '' ) OR ((i = 1 OR starts_with(x, d)) AND (i = len(pieces) OR ends_with(x, d)))) AS ok,
       list_sum(list_transform(pieces, lambda x, i: CASE WHEN i % 2 = 1 THEN length(x) - length(replace(x, d, '')) ELSE 0 END)) + 1 AS n_fields FROM cut),

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventweave.plans import lines
+from eventweave.plans import corpus, lines
 
 FLAGSHIP = "p1_found"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for module in (lines,):
+for module in (lines, corpus):
     QUERIES |= {q.__name__: q for q in module.QUERIES}
     ORACLE |= module.ORACLE
