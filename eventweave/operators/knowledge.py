@@ -38,7 +38,7 @@ def requests_of(items: DataFrame) -> DataFrame:
     return e.filter(F.col("rel") != F.col("box")).distinct()
 
 
-def knowledge(graph: Graph, requests: DataFrame, relations: dict[str, list[str]], n: int = 50, weight: str = "pmi") -> DataFrame:
+def knowledge(graph: Graph, requests: DataFrame, relations: dict[str, list[str]], n: int = 50, weight: str = "pmi", stop: tuple[str, ...] = STOP_NODES) -> DataFrame:
     """(form, pos, rel, box, rank, label, label_pos, role, role2, w): the `n` best rows of every request (form, pos, rel, box), all answered at once.
 
     Paths word - event - other word whose near edge has a role of `rel` and far edge one of `box`, without the stop nodes; weights summed by word and pair of
@@ -55,7 +55,7 @@ def knowledge(graph: Graph, requests: DataFrame, relations: dict[str, list[str]]
     near = near.join(wanted, ["form", "pos", "rel"]).filter(F.col("rel") != F.col("box"))
     far = two_hops(near, graph.args, ["form", "pos", "rel", "box"])
     far = far.withColumn("__out", key(F.col("role2"))).join(roles.select(F.col("rel").alias("box"), key(F.col("role")).alias("__out")), ["box", "__out"])
-    m = graph.words.filter(~F.col("form").isin(*[s.lower() for s in STOP_NODES], *STOP_NODES)).select("word_id", F.col("form").alias("label"), F.col("pos").alias("label_pos"))
+    m = graph.words.filter(~F.col("form").isin(*stop)).select("word_id", F.col("form").alias("label"), F.col("pos").alias("label_pos"))
     request = ["form", "pos", "rel", "box"]
     sums = far.join(m, "word_id").groupBy(*request, "role", "role2", "label", "label_pos").agg(weight_to_extract(weight).alias("w"))
     order = [F.col("w").desc(), F.col("label").asc(), F.col("label_pos").asc(), F.col("role").asc_nulls_first(), F.col("role2").asc_nulls_first()]
@@ -68,3 +68,9 @@ def in_vocabulary(found: DataFrame, vectors: DataFrame, with_pos: bool = False)
     label = F.concat_ws("/", "label", "label_pos") if with_pos else F.col("label")
     v = vectors.select(F.col("form").alias("__form"), "vec")
     return found.withColumn("__form", label).join(v, "__form").drop("__form")
+
+
+def with_same_relations(found: DataFrame, words: DataFrame) -> DataFrame:
+    """`found` and for each asked word (form, pos, rel) the word itself as the only one of its own relation, with weight 1."""
+    own = words.select("form", "pos", "rel").distinct().select("form", "pos", "rel", F.col("rel").alias("box"), F.lit(1).alias("rank"), F.col("form").alias("label"), F.col("pos").alias("label_pos"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("role2"), F.lit(1.0).alias("w"))
+    return found.unionByName(own)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventweave.functions.labels import STOP_NODES
 from eventweave.functions.vectors import REPRESENTATIONS, WEIGHTS, let, mean
 from eventweave.operators.graph import Graph
 from eventweave.operators.knowledge import check_relations, in_vocabulary, knowledge, requests_of
@@ -28,6 +29,7 @@ class Settings:
     ranking: str = "cosine"
     representation: str = "centroid"
     with_pos: bool = False
+    stop: tuple[str, ...] = STOP_NODES
 
 
 def fold_context(steps: Column, s: Settings = Settings()) -> Column:
@@ -110,7 +112,13 @@ def represent(items: DataFrame, graph: Graph, vectors: DataFrame, relations: dic
     check_relations(items.select(F.explode("relations").alias("rel")), relations)
     words = known_words(items, vectors, s.with_pos)
     asked = requests_of(items).join(words.select("form", "pos").distinct(), ["form", "pos"], "left_semi")
-    found = in_vocabulary(knowledge(graph, asked, relations, s.n, s.weight), vectors, s.with_pos)
+    found = in_vocabulary(knowledge(graph, asked, relations, s.n, s.weight, s.stop), vectors, s.with_pos)
     ac = active_context(items, context_steps(items, words, found, s), s)
     lc = linguistic_conditions(words, items)
     return items.select("item_id", "item", "target").join(lc, "item_id", "left").join(ac, "item_id", "left")
+
+
+def group_centroids(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """(key, vec): the mean vector of each group, for groups of any size: dimensions are averaged one by one with partial sums."""
+    per = df.select(key, F.posexplode(vec).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
+    return per.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vec"))  # one entry a dimension
