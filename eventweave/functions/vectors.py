@@ -66,7 +66,7 @@ def cut(v: Column, keep: int, last: bool) -> Column:
 
 def centroid(lists: Column, head: int) -> Column:
     """Mean over non-empty lists of the mean of the first `head` vectors of each; a list is an array of structs with `vec`. Null if all are empty."""
-    means = F.transform(F.filter(lists, lambda g: F.size(g) > 0), lambda g: mean(F.transform(F.slice(g, 1, head), lambda e: e["vec"])))
+    means = F.transform(F.filter(lists, lambda g: F.size(g) > 0), lambda g: let(F.transform(F.slice(g, 1, head), lambda e: e["vec"]), mean))
     return let(means, mean)
 
 

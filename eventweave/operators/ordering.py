@@ -41,6 +41,7 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, rho): rank correlation over rows where both are there; null for fewer than two rows or a constant column."""
     both = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    both = materialize(both, "both")
     ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
     n = F.count(F.lit(1))
     rho = F.when((n > 1) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry"))
