@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventweave.functions.text import LINE_BLANKS, rsplit_relation, strip
+from eventweave.functions.vectors import let
 
 #: The line format; `corrupt` holds the raw text of what the reader couldn't take.
 FIELDS = ("id", "text", "lemma", "upos", "ne", "deprels")
@@ -25,22 +26,22 @@ def _read(raw: Column, delimiter: str) -> Column:
     return F.from_csv(raw, LINE_SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
 
 
-def _quotes(raw: Column, delimiter: Column) -> tuple[Column, Column]:
-    """(are the quotes sound, number of fields) of a line, linear in its length.
+def _quotes(raw: Column, delimiter: Column) -> Column:
+    """struct (sound: are the quotes, fields: how many) of a line, linear in its length.
 
     Cut at the double quotes, pieces at even places are outside. Inside the line such a piece is empty (a doubled quote) or begins and ends with a
     delimiter; the first ends and the last begins with one, or is empty; and the number of quotes is even.
     """
-    pieces = F.split(raw, '"', -1)
-    last = F.size(pieces) - 1
     at_start = lambda x: F.startswith(x, delimiter)
     at_end = lambda x: F.endswith(x, delimiter)
-    sound = F.transform(
-        pieces,
-        lambda x, i: (i % 2 == 1) | ((x == "") & ((i == 0) | (i == last) | (i % 2 == 0))) | (((i == 0) | at_start(x)) & ((i == last) | at_end(x))),
-    )
-    outside = F.aggregate(F.transform(pieces, lambda x, i: F.when(i % 2 == 0, F.length(x) - F.length(F.replace(x, delimiter, F.lit("")))).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    return (last % 2 == 0) & F.forall(sound, lambda x: x), outside + 1
+
+    def judge(p: Column) -> Column:
+        last = F.size(p) - 1  # of a bound variable: the line is cut once, not once a piece
+        sound = F.transform(p, lambda x, i: (i % 2 == 1) | (x == "") | (((i == 0) | at_start(x)) & ((i == last) | at_end(x))))
+        outside = F.transform(p, lambda x, i: F.when(i % 2 == 0, F.length(x) - F.length(F.replace(x, delimiter, F.lit("")))).otherwise(0))
+        return F.struct(((last % 2 == 0) & F.forall(sound, lambda x: x)).alias("sound"), (F.aggregate(outside, F.lit(0), lambda n, x: n + x) + 1).alias("fields"))
+
+    return let(F.split(raw, '"', -1), judge)
 
 
 def _is_number(x: Column) -> Column:
@@ -78,9 +79,9 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "l
     read = F.when(F.col("__raw") == "", None).when(is_tab, _read(escaped, "\t")).otherwise(_read(escaped, " "))
     out = out.withColumn("__read", read)
     quoted = F.contains(F.col("__raw"), F.lit('"'))
-    sound, count = _quotes(F.col("__raw"), F.col("__sep"))
+    out = out.withColumn("__quotes", F.when(quoted, _quotes(F.col("__raw"), F.col("__sep"))))
     plain_count = F.length("__raw") - F.length(F.replace(F.col("__raw"), F.col("__sep"), F.lit(""))) + 1
-    fields = F.when(quoted, count).otherwise(plain_count)
+    fields = F.when(quoted, F.col("__quotes.fields")).otherwise(plain_count)
     restored = lambda x: F.when(nul, F.replace(F.replace(x, F.lit("\x02a"), F.lit("\x00")), F.lit("\x02b"), F.lit("\x02"))).otherwise(x)
     value = {c: restored(F.coalesce(F.col(f"__read.{c}"), F.lit(""))) for c in FIELDS}
     pieces = F.split(value["deprels"], ",", -1)
@@ -95,7 +96,7 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "l
 
     reason = (
         F.when(F.col("__raw").isNull() | (F.col("__raw") == ""), None)
-        .when(quoted & ~sound, "quoting")
+        .when(quoted & ~F.col("__quotes.sound"), "quoting")
         .when(fields != 6, "columns")
         .when(~(_is_number(value["id"]) & value["id"].rlike("[1-9]")), "token_id")
         .when((value["lemma"] == "") | value["lemma"].rlike(BAD_LEMMA), "lemma")
