@@ -30,7 +30,7 @@ def word_nodes(lemmas: DataFrame) -> DataFrame:
     total = lemmas.agg(F.sum("freq").alias("__total"))
     rows = lemmas.groupBy("lemma", "pos").agg(F.sum("freq").cast("bigint").alias("freq"))
     rows = number_rows(rows, [F.col("lemma").asc(), F.col("pos").asc()], "word_id").crossJoin(F.broadcast(total))  # one row
-    return rows.select("word_id", F.col("lemma").alias("form"), "pos", "freq", (F.col("freq") / F.col("__total")).alias("prob"))
+    return rows.select("word_id", F.col("lemma").alias("form"), "pos", "freq", F.try_divide(F.col("freq").cast("double"), F.col("__total").cast("double")).alias("prob"))
 
 
 def event_probs(events: DataFrame, event: str = "event") -> DataFrame:
@@ -40,7 +40,7 @@ def event_probs(events: DataFrame, event: str = "event") -> DataFrame:
     """
     rows = events.withColumn("deg", arity(F.col(event)))
     totals = rows.groupBy("deg").agg(F.sum("freq").alias("__total"))
-    return rows.join(F.broadcast(totals), "deg").withColumn("prob", F.col("freq") / F.col("__total")).drop("__total")  # at most GROUP_LIMIT rows
+    return rows.join(F.broadcast(totals), "deg").withColumn("prob", F.try_divide(F.col("freq").cast("double"), F.col("__total").cast("double"))).drop("__total")  # at most GROUP_LIMIT rows
 
 
 def event_nodes(events: DataFrame) -> DataFrame:

@@ -27,8 +27,10 @@ def number_rows(df: DataFrame, order: list[Column], out: str, first: int = 1) ->
 
 
 def number_lines(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """0-based numbers of the rows of a file as it was read."""
-    return number_rows(df.withColumn("__at", F.monotonically_increasing_id()), [F.col("__at")], out, 0).drop("__at")
+    """0-based numbers of the rows of files just read, in the order of the files' names and of the rows in them."""
+    at = [F.col("__file"), F.col("__block"), F.col("__at")]
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    return number_rows(placed, at, out, 0).drop("__file", "__block", "__at")
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -44,5 +46,5 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     both = materialize(both, "both")
     ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
     n = F.count(F.lit(1))
-    rho = F.when((n > 1) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return ranked.agg(n.alias("n"), rho.alias("rho"))

@@ -23,9 +23,12 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     target = next((t for t in TARGETS if t in header), None)
     if ITEM not in header or target is None:
         raise ValueError(f"{path} has no columns {ITEM} and {TARGETS[0]}: {header}")
-    rows = number_lines(spark.read.text(path), "__line").filter(F.col("__line") > 0).filter(strip(F.col("value"), ALL_BLANKS) != "")
+    # a folder may hold the header once a file
+    lines = spark.read.text(path)
+    lines = lines.filter((strip(F.col("value"), ALL_BLANKS) != "") & (F.array_join(split_blank(F.col("value")), " ") != " ".join(header)))
+    rows = number_lines(lines, "__line")
     cells = F.split(strip(F.col("value"), ALL_BLANKS), "\t", -1)
-    rows = rows.select((F.col("__line") - 1).alias("item_id"), F.get(cells, F.lit(header.index(ITEM))).alias("item"), F.get(cells, F.lit(header.index(target))).alias("target"))
+    rows = rows.select(F.col("__line").alias("item_id"), F.get(cells, F.lit(header.index(ITEM))).alias("item"), F.get(cells, F.lit(header.index(target))).alias("target"))
 
     def element(x):
         p = F.split(x, "@", -1)
@@ -37,11 +40,11 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gold(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """`row_id` from 0 and the file's columns (c0, c1, ... without header); `score`, `mean_rat` and the deviations are numbers, all else text."""
-    rows = spark.read.csv(path, sep="\t", header=header, quote="")
+    rows = number_lines(spark.read.csv(path, sep="\t", header=header, quote=""))
     if not header:
-        rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+        rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns) - 1)], "row_id")
     numbers = [c for c in rows.columns if c in ("score", "st_dev", "mean_rat", "std_rat")]
-    return number_lines(rows.withColumns({c: F.col(c).try_cast("double") for c in numbers}))
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in numbers})
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ ITEM = T.StructType([T.StructField("item", T.StringType()), T.StructField("freq"
 def read_freqs(spark: SparkSession, path: str | list[str], delimiter: str = "\t") -> DataFrame:
     """(item, freq bigint): distinct rows. Compression is told by the file's name; frequencies may be written as 12 or 12.0; rows without one are dropped."""
     rows = spark.read.csv(path, sep=delimiter, schema=ITEM, quote="", mode="DROPMALFORMED")
-    return rows.filter(F.col("freq").isNotNull()).select("item", F.col("freq").cast("bigint").alias("freq")).distinct()
+    return rows.select("item", F.col("freq").try_cast("bigint").alias("freq")).filter(F.col("freq").isNotNull()).distinct()
 
 
 def read_lemma_freqs(spark: SparkSession, path: str | list[str], threshold: float | None = None, delimiter: str = "\t") -> DataFrame:
