@@ -12,8 +12,10 @@ from eventweave.session import materialize
 SENTENCE_END = r"(?<=[.!?])\s+|\n\s*\n"
 WORD, JOINTS = r"[\p{L}'’-]+", "'’-"
 #: Parameters of the propagation; see `propagate`.
-LEAST_WORDS, LEAST_SENTENCES, AGREEMENT, COVERAGE, CONFIDENCE, ROUNDS = 3, 2, 0.5, 0.5, 1.0, 4
+LEAST_WORDS, LEAST_SENTENCES, AGREEMENT, COVERAGE, CONFIDENCE, ROUNDS = 3, 2, 4 / 9, 0.5, 1.0, 4
 PRIOR, FLOOR = 2.0, 0.02
+#: Verified terms up to this number (about 150 bytes each) are broadcast.
+BROADCAST_TERMS = 100_000
 
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -33,27 +35,32 @@ def seeds(labels: DataFrame, subjects: list[str]) -> DataFrame:
 def _verified(counts: DataFrame, frequency: DataFrame, k: int, settled: bool) -> DataFrame:
     """(term, l0...): the log odds of each subject for the terms that may carry a label.
 
-    A term is verified if it is in LEAST_SENTENCES labelled sentences or more, at least AGREEMENT of them (with PRIOR sentences of the corpus' mixture)
-    have one subject, and, once labels have spread (`settled`), at least COVERAGE of all its sentences are labelled. Function words and names fail this.
+    A term is verified if it is in LEAST_SENTENCES labelled sentences or more, the share of one subject in them (with PRIOR sentences of the corpus' mixture)
+    is at least AGREEMENT of the way from an even mixture to that subject alone (half of them for ten subjects), and, once labels have spread (`settled`), at least COVERAGE of all its sentences are labelled. Function words and names fail this.
     """
     total = counts.agg(*[F.sum(f"n{i}").alias(f"a{i}") for i in range(k)]).withColumn("a", sum((F.col(f"a{i}") for i in range(k)), F.lit(0.0)))
     n = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
     out = counts.withColumn("n", n).filter(F.col("n") >= LEAST_SENTENCES).crossJoin(F.broadcast(total))  # one row
     share = lambda i: (F.col(f"n{i}") + PRIOR * F.col(f"a{i}") / F.col("a")) / (F.col("n") + PRIOR)
     out = out.select("term", "n", *[share(i).alias(f"r{i}") for i in range(k)])
-    out = out.filter((F.greatest(*[F.col(f"r{i}") for i in range(k)]) if k > 1 else F.col("r0")) >= AGREEMENT)
+    out = out.filter((F.greatest(*[F.col(f"r{i}") for i in range(k)]) if k > 1 else F.col("r0")) >= 1 / k + AGREEMENT * (1 - 1 / k) - 1e-9)
     if settled:
         out = out.join(frequency, "term").filter(F.col("n") >= COVERAGE * F.col("frequency"))
     return out.select("term", *[(F.log(F.col(f"r{i}") + FLOOR) - F.log(F.lit(1 / k + FLOOR))).alias(f"l{i}") for i in range(k)])
 
 
 def _label(rows: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """`rows` with the subject (a place) that the verified terms of each sentence speak for; sentences below CONFIDENCE are dropped."""
-    met = rows.withColumn("term", F.explode("terms")).join(terms, "term")
-    scored = met.groupBy(*rows.columns).agg(*[F.round(F.sum(f"l{i}"), 6).alias(f"s{i}") for i in range(k)])
+    """(uid, subject): the place of the subject that the verified terms of each sentence speak for; sentences below CONFIDENCE are dropped.
+
+    Only (uid, term) pairs meet the terms, and only sums by sentence are moved if the terms are few enough to be broadcast; beyond BROADCAST_TERMS, Spark joins by
+    shuffle and splits the skewed.
+    """
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    met = rows.select("uid", F.explode("terms").alias("term")).join(terms, "term")
+    scored = met.groupBy("uid").agg(*[F.round(F.sum(f"l{i}"), 6).alias(f"s{i}") for i in range(k)])
     best = F.greatest(*[F.col(f"s{i}") for i in range(k)]) if k > 1 else F.col("s0")
     place = F.coalesce(*[F.when(F.col(f"s{i}") == best, F.lit(i)) for i in range(k)])
-    return scored.filter(best > CONFIDENCE).select(*rows.columns, place.alias("subject"))
+    return scored.filter(best > CONFIDENCE).select("uid", place.alias("subject"))
 
 
 def _count(labelled: DataFrame, weight: list[Column]) -> DataFrame:
@@ -81,12 +88,12 @@ def propagate(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: i
     counts = _count(known, [F.array_contains("seed", i).cast("double") / F.size("seed") for i in range(k)])
     for r in range(rounds):
         terms = materialize(_verified(materialize(counts, "counts"), frequency, k, r >= 2), "terms")
-        labelled = _label(rows.select("uid", "seed", "terms"), terms, k)
+        labelled = rows.select("uid", "seed", "terms").join(_label(rows, terms, k), "uid")
         labelled = labelled.filter(F.col("seed").isNull() | F.array_contains("seed", F.col("subject")))
         counts = _count(labelled, [(F.col("subject") == i).cast("double") for i in range(k)])
     terms = materialize(_verified(materialize(counts, "counts"), frequency, k, True), "terms")
     names = F.array(*[F.lit(s) for s in subjects])
-    found = _label(rows.select("uid", "doc_id", "terms"), terms, k).groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("n"))
+    found = rows.select("uid", "doc_id").join(_label(rows, terms, k), "uid").groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("n"))
     total = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
     return found.join(total, "doc_id").select("doc_id", F.get(names, F.col("subject")).alias("subject"), "n", "sentences")
 
