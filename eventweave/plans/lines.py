@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.operators import malformed
-from eventweave.session import table
+from eventweave.session import scratch_dir, table
+from eventweave.streaming.counts import run_to_folder
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +27,18 @@ def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("file_name", F.coalesce("reason", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = [p1_found, p1_tokens, p1_reasons]
+def stream_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts by lemma and tag, over the lines as a stream of files joined with the static table of files."""
+    schema = table(spark, sf, "corpus_lines").schema
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/corpus_lines.parquet")
+    valid = malformed.tokens(lines, table(spark, sf, "corpus_files"))
+    counts = valid.groupBy(F.lower("lemma").alias("lemma"), "upos").agg(F.count(F.lit(1)).alias("freq"))
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run_to_folder(counts, f"{folder}/counts", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/counts")
+
+
+QUERIES = [p1_found, p1_tokens, p1_reasons, stream_token_counts]
 
 #: The rules of the line format in SQL; `pieces` are what lies between the double quotes, those at odd (1-based) places outside.
 LINES_SQL = r"""source AS (SELECT * FROM corpus_lines),
@@ -48,5 +62,6 @@ LINES_SQL = r"""source AS (SELECT * FROM corpus_lines),
 ORACLE = {
     "p1_found": f"WITH {LINES_SQL} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p1_tokens": f"WITH {LINES_SQL} SELECT line_id, TRY_CAST(id AS BIGINT) AS token_id, f[2] AS text, f[3] AS lemma, f[4] AS upos, f[5] AS ne, f[6] AS deprels FROM judged WHERE reason IS NULL",
+    "stream_token_counts": f"WITH {LINES_SQL} SELECT lower(f[3]) AS lemma, f[4] AS upos, CAST(count(*) AS BIGINT) AS freq FROM judged WHERE reason IS NULL GROUP BY ALL",
     "p1_reasons": f"WITH {LINES_SQL} SELECT file_name, coalesce(reason, 'valid') AS outcome, CAST(count(*) AS BIGINT) AS n FROM judged GROUP BY ALL",
 }
