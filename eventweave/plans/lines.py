@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventweave.operators import malformed
 from eventweave.session import scratch_dir, table
+from eventweave.sources.files import is_file
 from eventweave.streaming.counts import run_to_folder
 
 
@@ -30,7 +31,9 @@ def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
 def stream_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts by lemma and tag, over the lines as a stream of files joined with the static table of files."""
     schema = table(spark, sf, "corpus_lines").schema
-    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/corpus_lines.parquet")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    name = "corpus_lines.parquet"  # a folder of files, or one file beside the other tables
+    lines = reader.option("pathGlobFilter", name).parquet(sf) if is_file(spark, f"{sf}/{name}") else reader.parquet(f"{sf}/{name}")
     valid = malformed.tokens(lines, table(spark, sf, "corpus_files"))
     counts = valid.groupBy(F.lower("lemma").alias("lemma"), "upos").agg(F.count(F.lit(1)).alias("freq"))
     folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"

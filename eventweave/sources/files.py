@@ -18,6 +18,11 @@ def _hidden(name: str) -> bool:
     return name.startswith((".", "_"))
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+
+
 def list_files(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     """A file yields itself; a folder its files, without hidden ones and without folders. Works on any file system of the cluster; only names are listed."""
     out = []
