@@ -9,7 +9,7 @@ from eventweave.operators.dependencies import build_dependencies, build_groups
 from eventweave.sources import conll, datasets, files, freqs, graphs, vectors
 from eventweave.streaming import counts
 
-REFERENCE_LABELS = "V N\nnsubj dobj iobj nmod obl xcomp\n"
+ACCEPTED = "V N\nnsubj dobj iobj nmod obl xcomp\n"
 
 
 def test_vectors(spark, tmp_path):
@@ -25,7 +25,7 @@ def test_vectors(spark, tmp_path):
 
 
 def test_lists(spark, tmp_path):
-    (tmp_path / "l").write_text(REFERENCE_LABELS)
+    (tmp_path / "l").write_text(ACCEPTED)
     assert files.read_labels(spark, str(tmp_path / "l")) == Labels()
     (tmp_path / "l2").write_text("V\n\n")
     assert files.read_labels(spark, str(tmp_path / "l2")) == Labels(("V",), None)
@@ -85,7 +85,7 @@ def test_command_line(spark, tmp_path):
     t = str(tmp_path)
     (tmp_path / "corpus").mkdir()
     (tmp_path / "corpus" / "a").write_text(CORPUS)
-    (tmp_path / "labels").write_text(REFERENCE_LABELS)
+    (tmp_path / "labels").write_text(ACCEPTED)
     for command, suffix in (("sequential-extraction", "gz"), ("pipeline-extraction", "txt")):
         cli.main([command, "-i", f"{t}/corpus", "-o", t, "--labels", f"{t}/labels", "--word-thresh", "0", "--event-thresh", "0"])
         cli.main(["build-graph", "-l", f"{t}/lemma-freqs.{suffix}", "-e", f"{t}/events-freqs.{suffix}", "-o", f"{t}/graph", "--weights", "pmi"])
