@@ -18,6 +18,8 @@ RELATION = r"\A[A-Za-z][A-Za-z0-9:_-]*\z"
 NUMBER = r"\A[0-9]+\z"
 BAD_LEMMA = "[\\x00- @\uFFFD\u007F]"
 REASONS = ("quoting", "columns", "token_id", "lemma", "deprel", "head")
+#: Reasons of lines that can't be divided into the six fields.
+NO_FIELDS = ("quoting", "columns")
 
 
 def _read(raw: Column, delimiter: str) -> Column:
@@ -53,13 +55,15 @@ def _same_number(a: Column, b: Column) -> Column:
     return F.ltrim(a, F.lit("0")) == F.ltrim(b, F.lit("0"))
 
 
-def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "line", file: str = "file_name", delimiter: str = "space") -> DataFrame:
+def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "line", file: str = "file_name", delimiter: str = "space", keep_odd: bool = False) -> DataFrame:
     """`lines` with `id, text, lemma, upos, ne, deprels` of sound token lines, `corrupt` (the raw line) and `reason` of the others.
 
     A reason is the first of REASONS that holds. Blank lines and null lines are sentence bounds: all of these columns are null. The delimiter of a line is
     that of its file in `files` (`space` or `tab`); lines of unknown files, or whose file has none, have `delimiter`. Existing columns named like the new
     ones are replaced. Rows stay as many as they are; the only join is on the file name.
 
+    keep_odd: lines of six fields keep their values beside a reason that isn't one of NO_FIELDS.
+
     Every line is read permissively under LINE_SCHEMA, which keeps the text of what it can't take. The reader is laxer about quotes than the format, so
     corrupt lines and those with a quote are classified again by quotes and count; all others by their values.
     """
@@ -105,7 +109,8 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "l
     )
     out = out.withColumn("reason", reason)
     is_token = F.col("reason").isNull() & F.col("__raw").isNotNull() & (F.col("__raw") != "")
-    out = out.withColumns({c: F.when(is_token, v) for c, v in value.items()})
+    has_values = is_token | ~F.col("reason").isin(*NO_FIELDS) if keep_odd else is_token
+    out = out.withColumns({c: F.when(has_values, v) for c, v in value.items()})
     out = out.withColumn("corrupt", F.when(F.col("reason").isNotNull(), F.col(line)))
     return out.select(*[c for c in lines.columns if c not in new], *FIELDS, "corrupt", "reason")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eventweave.functions.labels import accepted_lemma, entity_or
 from eventweave.functions.text import ALL_BLANKS, rsplit_relation, split_exact, strip
 from eventweave.operators.latest import latest_rows
-from eventweave.operators.malformed import FIELDS, parse_lines
+from eventweave.operators.malformed import FIELDS, NO_FIELDS, parse_lines
 
 #: Lines of a file whose sentence bounds are counted together.
 CHUNK = 10_000
@@ -51,13 +51,14 @@ def sentence_numbers(lines: DataFrame, file: str = "file_name", at: str = "line_
 def line_sentences(lines: DataFrame, files: DataFrame | None = None, delimiter: str = "space") -> DataFrame:
     """(file_name, sentence, tokens) of the rows of `lines` (file_name, line_no, line, loaded_at, line_id).
 
-    Of lines delivered twice the latest counts. A sentence with a line that breaks the format, or a relation without `=`, is dropped as a whole; so is one
-    without accepted tokens. Rows without file or number are left out.
+    Of lines delivered twice the latest counts. A sentence with a line that isn't six fields, or with a relation without `=` of an accepted lemma, is dropped
+    as a whole; so is one without accepted tokens. Other lemmas are skipped, odd ids, heads and relations kept, as in `text_sentences`. Rows without file or
+    number are left out.
     """
     rows = lines.filter(F.col("file_name").isNotNull() & F.col("line_no").isNotNull()).select("file_name", "line_no", "line", "loaded_at", "line_id")
     rows = latest_rows(rows, ["file_name", "line_no"], "loaded_at", ["line_id"]).drop("loaded_at", "line_id")
-    parsed = parse_lines(sentence_numbers(rows), files, delimiter=delimiter).filter(F.col("id").isNotNull() | F.col("reason").isNotNull())
-    whole = parsed.groupBy("file_name", "sentence").agg(F.array_sort(F.collect_list(F.struct("line_no", *FIELDS))).alias("parsed"), F.count("reason").alias("rejected"))
+    parsed = parse_lines(sentence_numbers(rows), files, delimiter=delimiter, keep_odd=True).filter(F.col("id").isNotNull() | F.col("reason").isNotNull())
+    whole = parsed.groupBy("file_name", "sentence").agg(F.array_sort(F.collect_list(F.struct("line_no", *FIELDS))).alias("parsed"), F.count_if(F.coalesce(F.col("reason").isin(*NO_FIELDS), F.lit(False))).alias("rejected"))
     tokens, bad = raw_tokens(F.col("parsed"))
     return whole.filter(F.col("rejected") == 0).filter(~bad).select("file_name", "sentence", tokens.alias("tokens")).filter(F.size("tokens") > 0)
 

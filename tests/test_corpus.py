@@ -128,6 +128,15 @@ def test_line_sentences(spark):
     assert line_sentences(df.limit(0)).count() == 0
 
 
+def test_line_sentences_keep_odd_lines(spark):
+    sentences = ["1 a a N O x=2\n2 b b@c N O nope", "0 a a N O x=2\n2 b b N O y=0", "1 a a N O x=1,y=z", "1 a a N O 1x=2,=3", "1 a a N O x=2\n2 b b N O nope", "1 a a N O x=2\n2 b b N O nope=1 more", '1 a" a N O x=2\n2 b b N O y=1', "x a a N O nope"]
+    df = spark.createDataFrame([(i, "f", i, x, None) for i, x in enumerate("\n\n".join(sentences).split("\n"))], "line_id long, file_name string, line_no int, line string, loaded_at string")
+    got = {r.sentence: [(t.id, t.lemma, t.deprel, t.head) for t in r.tokens] for r in line_sentences(df).collect()}
+    assert got == {0: [("1", "a", "x", "2")], 1: [("0", "a", "x", "2"), ("2", "b", "y", "0")], 2: [("1", "a", "x", "1"), ("1", "a", "y", "z")], 3: [("1", "a", "1x", "2"), ("1", "a", "", "3")]}
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(sentences) if i not in (5, 6)], "i int, value string")
+    assert {r.i: [(t.id, t.lemma, t.deprel, t.head) for t in r.tokens] for r in text_sentences(texts).collect()} == got
+
+
 def test_cube(spark, folder):
     cube = counting.token_cube(conll.read_conll(spark, [folder]))
     n = cube.filter("grouping = 0").agg(F.sum("freq")).first()[0]
