@@ -64,8 +64,8 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "l
 
     keep_odd: lines of six fields keep their values beside a reason that isn't one of NO_FIELDS.
 
-    Every line is read permissively under LINE_SCHEMA, which keeps the text of what it can't take. The reader is laxer about quotes than the format, so
-    corrupt lines and those with a quote are classified again by quotes and count; all others by their values.
+    Lines are judged by quotes and count first; those of six fields are read permissively under LINE_SCHEMA and judged by their values. The reader is laxer
+    about quotes than the format and fails on lines of very many columns, so it gets no others.
     """
     new = [*FIELDS, "corrupt", "reason"]
     out = lines.drop(*[c for c in new if c in lines.columns])
@@ -79,14 +79,15 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "l
     # the reader drops U+0000 inside quotes: such lines are read with it escaped
     nul = F.contains(F.col("__raw"), F.lit("\x00"))
     escaped = F.when(nul, F.replace(F.replace(F.col("__raw"), F.lit("\x02"), F.lit("\x02b")), F.lit("\x00"), F.lit("\x02a"))).otherwise(F.col("__raw"))
-    # an empty line has no fields to read; the reader would give null for it
-    read = F.when(F.col("__raw") == "", None).when(is_tab, _read(escaped, "\t")).otherwise(_read(escaped, " "))
-    out = out.withColumn("__read", read)
     quoted = F.contains(F.col("__raw"), F.lit('"'))
     out = out.withColumn("__quotes", F.when(quoted, _quotes(F.col("__raw"), F.col("__sep"))))
     plain_count = F.length("__raw") - F.length(F.replace(F.col("__raw"), F.col("__sep"), F.lit(""))) + 1
     fields = F.when(quoted, F.col("__quotes.fields")).otherwise(plain_count)
     restored = lambda x: F.when(nul, F.replace(F.replace(x, F.lit("\x02a"), F.lit("\x00")), F.lit("\x02b"), F.lit("\x02"))).otherwise(x)
+    # only lines of six fields are read: the reader fails on a line of more columns than it has room for, whatever its mode
+    sound = F.when(quoted, F.col("__quotes.sound")).otherwise(True)
+    of = lambda kind: F.when(sound & (fields == 6) & kind, escaped)
+    out = out.withColumn("__read", F.when(is_tab, _read(of(is_tab), "\t")).otherwise(_read(of(~is_tab), " ")))
     value = {c: restored(F.coalesce(F.col(f"__read.{c}"), F.lit(""))) for c in FIELDS}
     pieces = F.split(value["deprels"], ",", -1)
 

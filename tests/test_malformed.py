@@ -62,6 +62,16 @@ def test_against_plain_rules(spark):
         assert (reason, values, line if reason else None) == (r.reason, [r[c] for c in FIELDS] if r.id is not None else None, r.corrupt), (line, d)
 
 
+def test_very_many_delimiters(spark):
+    for d, name in ((" ", "space"), ("\t", "tab")):
+        run = d * 30000
+        rows = [(1, f"1 a{run}b N O x=2".replace(" ", d), "columns"), (2, f'1 a b N O x"{run}y"z'.replace(" ", d), "quoting"), (3, f'1 "{run}" b N O x=2'.replace(" ", d), None), (4, f'1 "{run}"{run}N O x=2'.replace(" ", d), "columns"), (5, "1 a b N O x=2".replace(" ", d), None)]
+        df = spark.createDataFrame([r[:2] for r in rows], "line_id long, line string")
+        out = {r.line_id: r for r in parse_lines(df, delimiter=name).collect()}
+        assert {i: r.reason for i, r in out.items()} == {i: reason for i, _, reason in rows}
+        assert out[3].text == run and out[1].corrupt == rows[0][1]
+
+
 def test_nulls_clashes_long_and_empty(spark):
     long = 'x""' * 20000
     rows = [(1, "1 a b N O x=2", "f", "kept"), (2, None, "f", "kept"), (3, " \r\n", None, "kept"), (4, "1 a b N O", "g", "kept"), (5, f'1 "{long}" b N O x=2', "f", "kept"), (5, f'1 "{long}" b N O x=2', "f", "kept"), (6, "01 a b N O x=" + "0" * 50 + "1", None, None), (7, "9" * 40 + " a b N O x=2", None, None)]
