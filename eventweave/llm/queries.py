@@ -31,8 +31,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair of members in at least two events, with its counts and lift."""
-    pairs = together.members_together(table(spark, sf, "events_nodes"), at_least=2, one_in=None)
+    """Every pair of members of an event, with its counts and lift."""
+    pairs = together.members_together(table(spark, sf, "events_nodes"), at_least=1, one_in=None)
     return pairs.select("item_a", "item_b", "n_a", "n_b", "n_ab", F.round("lift", 3).alias("lift"))
 
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from eventweave.llm import terms, together, top_n
+from eventweave.llm import queries, terms, together, top_n
 
 T0 = datetime(2022, 1, 1)
 
@@ -78,6 +78,13 @@ def test_pairs(spark):
     assert together.members_together(large, 1, None).count() == 600 * 599 // 2
 
 
+def test_all_pairs(spark, tmp_path):
+    rows = [(1, "a@N@x,b@V@y"), (2, "a@N@x, c@N@x"), (3, "a@N@x,b@V@y"), (4, "d@N@x,e@N@x"), (4, "d@N@x,e@N@x")]
+    spark.createDataFrame(rows, "eventid long, form string").write.parquet(f"{tmp_path}/events_nodes.parquet")
+    got = {tuple(r) for r in queries.p4_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("a@N@x", "b@V@y", 3, 2, 2, 1.333), ("a@N@x", "c@N@x", 3, 1, 1, 1.333), ("d@N@x", "e@N@x", 1, 1, 1, 4.0)}
+
+
 def test_terms(spark):
     rnd = random.Random(4)
     rows = [(rnd.choice(["hot", "hot", "a", "b", None, ""]), rnd.choice([0, 1, 2, None]), rnd.choice([1, 2, None])) for _ in range(400)]
