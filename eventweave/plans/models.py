@@ -94,9 +94,14 @@ def cosine_eval_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rerank_stable(spark: SparkSession, sf: str) -> DataFrame:
-    """The lists of each label ranked by their first vector."""
-    ranked = _lists(spark, sf).withColumn("g", v.rerank(F.col("g"), F.get("g", F.lit(0))["vec"]))
-    return ranked.select("label", F.posexplode("g").alias("place", "e")).select("label", "place", F.col("e.label").cast("bigint").alias("vec_id"))
+    """All vectors of each label ranked by its first vector, in the order of `v.rerank` but without holding a label as one list."""
+    e = _vectors(spark, sf)
+    heads = e.groupBy(F.col("label").alias("of")).agg(F.min(F.struct("vec_id", "vec"))["vec"].alias("head"))
+    scored = e.join(heads, F.col("label").eqNullSafe(F.col("of"))).select("label", "vec_id", v.cosine(F.col("vec"), F.col("head")).alias("score"))
+    ranked = number_rows(scored, [F.col("label").asc(), F.col("score").isNull(), -F.col("score"), F.col("vec_id").asc()], "n", 0)
+    first = ranked.groupBy(F.col("label").alias("of")).agg(F.min("n").alias("first"))
+    ranked = ranked.join(first, F.col("label").eqNullSafe(F.col("of")))
+    return ranked.select("label", (F.col("n") - F.col("first")).cast("int").alias("place"), "vec_id")
 
 
 def relation_set_ops(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,6 +12,7 @@ from eventweave.operators.graph import Graph, import_graph
 from eventweave.operators.knowledge import check_relations, in_vocabulary, knowledge, requests_of, with_same_relations
 from eventweave.operators.ordering import average_ranks, number_rows, spearman
 from eventweave.operators.prepare import pair_mapping, prepare_analogies, prepare_fit, prepare_pairs
+from eventweave.plans import models
 
 RELATIONS = {"SBJ": ["nsubj"], "OBJ": ["dobj"], "ROOT": ["None"]}
 
@@ -125,6 +126,15 @@ def test_vectors(spark):
     assert [list(x) for x in cut] == [[2.0, 3.0], [1.0, 2.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0]]
 
 
+def test_rerank_all_of_a_label(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(i, ["a", "b", "b", "b", None][i % 5], [float(rnd.randint(-2, 2)) for _ in range(2)]) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lists = spark.createDataFrame([(x, [(str(i), vec, 0.0) for i, label, vec in rows if label == x]) for x in ("a", "b", None)], "label string, g array<struct<label:string,vec:array<double>,w:double>>")
+    want = {(r.label, k, int(e.label)) for r in lists.select("label", v.rerank(F.col("g"), F.get("g", F.lit(0))["vec"]).alias("g")).collect() for k, e in enumerate(r.g)}
+    assert {tuple(r) for r in models.rerank_stable(spark, str(tmp_path)).collect()} == want and len(want) == 200
+
+
 def test_subsets_and_order(spark):
     df = spark.createDataFrame([(list("abcde"),), ([],), (["a"],)], "g array<string>")
     out = [tuple(x.s) for x in explode_subsets(df, "g", "s").collect()]
