@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventweave.functions.labels import Labels, accepted_lemma, accepted_relation, entity_or, standard_pos, standard_role
 from eventweave.functions.sets import explode_subsets
+from eventweave.functions.text import role_key
 from eventweave.operators import counting, graph, malformed
 from eventweave.operators.dependencies import build_dependencies, build_groups, keep_lemmas
 from eventweave.operators.sentences import line_sentences
@@ -52,7 +53,7 @@ def role_standardise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prefix_relation_filter(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "event_word_edges")
+    e = table(spark, sf, "event_word_edges").select(role_key(F.col("role")).alias("role"))
     return e.filter(accepted_relation(F.col("role"), Labels())).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 

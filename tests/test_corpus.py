@@ -6,6 +6,7 @@ from eventweave.functions.labels import Labels, accepted_lemma, standard_pos, st
 from eventweave.operators import counting, graph
 from eventweave.operators.dependencies import build_dependencies, build_groups, keep_lemmas
 from eventweave.operators.sentences import line_sentences, text_sentences
+from eventweave.plans import corpus
 from eventweave.sources import conll
 
 CORPUS = """1 Dogs dog NNS O nsubj=2
@@ -118,6 +119,12 @@ def test_labels(spark):
     assert [tuple(r) for r in got] == [(True, "V", "dobj"), (False, "IN", "nsubj"), (False, "J", "dobj"), (None, None, None)]
 
 
+def test_relation_filter_of_odd_roles(spark, tmp_path):
+    roles = ["nsubj", " NSUBJ", "Nmod:in ", "HEAD", None, "", "det"]
+    spark.createDataFrame([(x,) for x in roles], "role string").write.parquet(f"{tmp_path}/event_word_edges.parquet")
+    assert {tuple(r) for r in corpus.prefix_relation_filter(spark, str(tmp_path)).collect()} == {("nsubj", 2), ("nmod:in", 1)}
+
+
 def test_line_sentences(spark):
     ts = "2022-01-01 00:00:0{}"
     lines = [(i, "f", i, x, ts.format(0)) for i, x in enumerate(CORPUS.split("\n"), 1)]
