@@ -18,6 +18,8 @@ RELATION = r"\A[A-Za-z][A-Za-z0-9:_-]*\z"
 NUMBER = r"\A[0-9]+\z"
 BAD_LEMMA = "[\\x00- @\uFFFD\u007F]"
 REASONS = ("quoting", "columns", "token_id", "lemma", "deprel", "head")
+#: Columns that the reader has room for by default, less a margin.
+READER_COLUMNS = 20_000
 #: Reasons of lines that can't be divided into the six fields.
 NO_FIELDS = ("quoting", "columns")
 
@@ -50,9 +52,69 @@ def _is_number(x: Column) -> Column:
     return x.rlike(NUMBER)
 
 
+def _value(digits: Column) -> Column:
+    """Digits as a number; null beyond 38 of them."""
+    return digits.try_cast("decimal(38,0)")
+
+
+def _is_positive(digits: Column) -> Column:
+    return F.coalesce(_value(digits) >= 1, F.ltrim(digits, F.lit("0")) != "")
+
+
 def _same_number(a: Column, b: Column) -> Column:
     """Equal as numbers, whatever their length and leading zeros."""
-    return F.ltrim(a, F.lit("0")) == F.ltrim(b, F.lit("0"))
+    return F.coalesce(_value(a) == _value(b), F.ltrim(a, F.lit("0")) == F.ltrim(b, F.lit("0")))
+
+
+def _outcome(raw: Column, is_tab: Column, keep_odd: bool) -> Column:
+    """struct (*FIELDS, reason) of one line. Each step is bound once: the line is read once, whatever is made of it."""
+    sep = F.when(is_tab, "\t").otherwise(" ")
+    quoted = F.contains(raw, F.lit('"'))
+    # the reader drops U+0000 inside quotes: such lines are read with it escaped
+    nul = F.contains(raw, F.lit("\x00"))
+    escaped = F.when(nul, F.replace(F.replace(raw, F.lit("\x02"), F.lit("\x02b")), F.lit("\x00"), F.lit("\x02a"))).otherwise(raw)
+    restored = lambda x: F.when(nul, F.replace(F.replace(x, F.lit("\x02a"), F.lit("\x00")), F.lit("\x02b"), F.lit("\x02"))).otherwise(x)
+    plain_count = F.length(raw) - F.length(F.replace(raw, sep, F.lit(""))) + 1
+
+    def of_values(shape: Column, v: Column) -> Column:
+        pieces = F.split(v["deprels"], ",", -1)
+
+        def bad_relation(piece: Column) -> Column:
+            has, relation, _ = rsplit_relation(piece)
+            return ~has | ~relation.rlike(RELATION)
+
+        def bad_head(piece: Column) -> Column:
+            head = F.substring_index(piece, "=", -1)
+            return ~_is_number(head) | _same_number(head, v["id"])
+
+        reason = (
+            F.when(shape.isNotNull(), shape)
+            .when(~(_is_number(v["id"]) & _is_positive(v["id"])), "token_id")
+            .when((v["lemma"] == "") | v["lemma"].rlike(BAD_LEMMA), "lemma")
+            .when(F.exists(pieces, bad_relation), "deprel")
+            .when(F.exists(pieces, bad_head), "head")
+        )
+
+        def result(reason: Column) -> Column:
+            has = (reason.isNull() | ~reason.isin(*NO_FIELDS)) if keep_odd else reason.isNull()
+            return F.struct(*[F.when(has, v[c]).alias(c) for c in FIELDS], reason.alias("reason"))
+
+        return let(reason, result)
+
+    def of_read(quotes: Column, read: Column) -> Column:
+        # only what the reader kept as corrupt, or may have read too laxly, is judged again by its quotes and count
+        again = read.isNull() | read["corrupt"].isNotNull() | quoted
+        shape = F.when(again, F.when(quoted & ~quotes["sound"], "quoting").when(F.when(quoted, quotes["fields"]).otherwise(plain_count) != len(FIELDS), "columns"))
+        values = F.struct(*[restored(F.coalesce(read[c], F.lit(""))).alias(c) for c in FIELDS])
+        return let(shape, lambda s: let(values, lambda v: of_values(s, v)))
+
+    def of_quotes(quotes: Column) -> Column:
+        # the reader fails on a line of more columns than it has room for, whatever its mode
+        readable = (F.length(raw) < READER_COLUMNS) | (plain_count < READER_COLUMNS) | (quotes["sound"] & (quotes["fields"] == len(FIELDS)))
+        of = lambda kind: F.when(readable & kind, escaped)
+        return let(F.when(is_tab, _read(of(is_tab), "\t")).otherwise(_read(of(~is_tab), " ")), lambda r: of_read(quotes, r))
+
+    return F.when(raw != "", let(F.when(quoted, _quotes(raw, sep)), of_quotes))
 
 
 def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "line", file: str = "file_name", delimiter: str = "space", keep_odd: bool = False) -> DataFrame:
@@ -64,8 +126,9 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "l
 
     keep_odd: lines of six fields keep their values beside a reason that isn't one of NO_FIELDS.
 
-    Lines are judged by quotes and count first; those of six fields are read permissively under LINE_SCHEMA and judged by their values. The reader is laxer
-    about quotes than the format and fails on lines of very many columns, so it gets no others.
+    Every line is read permissively under LINE_SCHEMA, which keeps the raw text of what isn't six columns as corrupt. Corrupt lines, and lines with quotes, about
+    which the reader is laxer than the format, are judged again by quotes and count; then the values are checked, numbers by casts. Lines with more delimiters
+    than the reader has room for are judged first and read only if six fields are left.
     """
     new = [*FIELDS, "corrupt", "reason"]
     out = lines.drop(*[c for c in new if c in lines.columns])
@@ -74,44 +137,9 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, line: str = "l
         out = out.join(delims, out[file] == delims["__file"], "left").drop("__file")
     else:
         out = out.withColumn("__delim", F.lit(None).cast("string"))
-    is_tab = F.coalesce(F.col("__delim"), F.lit(delimiter)) == "tab"
-    out = out.withColumn("__raw", strip(F.col(line), LINE_BLANKS)).withColumn("__sep", F.when(is_tab, "\t").otherwise(" "))
-    # the reader drops U+0000 inside quotes: such lines are read with it escaped
-    nul = F.contains(F.col("__raw"), F.lit("\x00"))
-    escaped = F.when(nul, F.replace(F.replace(F.col("__raw"), F.lit("\x02"), F.lit("\x02b")), F.lit("\x00"), F.lit("\x02a"))).otherwise(F.col("__raw"))
-    quoted = F.contains(F.col("__raw"), F.lit('"'))
-    out = out.withColumn("__quotes", F.when(quoted, _quotes(F.col("__raw"), F.col("__sep"))))
-    plain_count = F.length("__raw") - F.length(F.replace(F.col("__raw"), F.col("__sep"), F.lit(""))) + 1
-    fields = F.when(quoted, F.col("__quotes.fields")).otherwise(plain_count)
-    restored = lambda x: F.when(nul, F.replace(F.replace(x, F.lit("\x02a"), F.lit("\x00")), F.lit("\x02b"), F.lit("\x02"))).otherwise(x)
-    # only lines of six fields are read: the reader fails on a line of more columns than it has room for, whatever its mode
-    sound = F.when(quoted, F.col("__quotes.sound")).otherwise(True)
-    of = lambda kind: F.when(sound & (fields == 6) & kind, escaped)
-    out = out.withColumn("__read", F.when(is_tab, _read(of(is_tab), "\t")).otherwise(_read(of(~is_tab), " ")))
-    value = {c: restored(F.coalesce(F.col(f"__read.{c}"), F.lit(""))) for c in FIELDS}
-    pieces = F.split(value["deprels"], ",", -1)
-
-    def bad_relation(piece: Column) -> Column:
-        has, relation, _ = rsplit_relation(piece)
-        return ~has | ~relation.rlike(RELATION)
-
-    def bad_head(piece: Column) -> Column:
-        head = F.substring_index(piece, "=", -1)
-        return ~_is_number(head) | _same_number(head, value["id"])
-
-    reason = (
-        F.when(F.col("__raw").isNull() | (F.col("__raw") == ""), None)
-        .when(quoted & ~F.col("__quotes.sound"), "quoting")
-        .when(fields != 6, "columns")
-        .when(~(_is_number(value["id"]) & value["id"].rlike("[1-9]")), "token_id")
-        .when((value["lemma"] == "") | value["lemma"].rlike(BAD_LEMMA), "lemma")
-        .when(F.exists(pieces, bad_relation), "deprel")
-        .when(F.exists(pieces, bad_head), "head")
-    )
-    out = out.withColumn("reason", reason)
-    is_token = F.col("reason").isNull() & F.col("__raw").isNotNull() & (F.col("__raw") != "")
-    has_values = is_token | ~F.col("reason").isin(*NO_FIELDS) if keep_odd else is_token
-    out = out.withColumns({c: F.when(has_values, v) for c, v in value.items()})
+    out = out.withColumn("__raw", strip(F.col(line), LINE_BLANKS)).withColumn("__tab", F.coalesce(F.col("__delim"), F.lit(delimiter)) == "tab")
+    # a generator of one row: what stands above it can't make Spark read the line again
+    out = out.select("*", F.inline_outer(F.array(_outcome(F.col("__raw"), F.col("__tab"), keep_odd))))
     out = out.withColumn("corrupt", F.when(F.col("reason").isNotNull(), F.col(line)))
     return out.select(*[c for c in lines.columns if c not in new], *FIELDS, "corrupt", "reason")
 
