@@ -10,20 +10,24 @@ from eventweave.functions.text import ALL_BLANKS, strip, word_key
 from eventweave.operators.latest import latest_rows
 
 
+def last_seen(tokens: DataFrame, term: list[str], record: str) -> DataFrame:
+    """`tokens` with `__new`: 1 where the record differs from the last one seen of its term, else 0. Tokens are hash-partitioned by term and sorted by record; null records are one."""
+    seen = W.partitionBy(*term).orderBy(F.col(record).asc_nulls_first())
+    changed = (F.row_number().over(seen) == 1) | ~F.col(record).eqNullSafe(F.lag(record).over(seen))
+    return tokens.withColumn("__new", changed.cast("bigint"))
+
+
 def term_counts(df: DataFrame, term: list[str], record: str, weight: Column, salts: int = 16) -> DataFrame:
     """Occurrences and records of every term: (*term, occurrences, records).
 
-    Tokens of one term and record are summed before the shuffle. Then each term meets its records in order within a salt of the record: a counter goes up
-    when the record differs from the last one seen, so no set of records is held. Salts divide the records, so their counters add up; a term with a third
-    of all tokens is spread over `salts` tasks. Null terms are a term, null records one record; null weights add nothing to the occurrences.
+    Tokens are hash-partitioned by term and a salt of the record, sorted by record, and each term keeps three numbers: occurrences, records and the record
+    last seen; the second goes up when the third changes. No set of records is held and no (term, record) pairs are grouped. Salts divide the records, so
+    their counters add up; a term with a third of all tokens is spread over `salts` tasks. The tokens are moved once, then one row of counters a term and salt.
+    Null terms are a term, null records one record; null weights add nothing to the occurrences.
     """
     salt = F.pmod(F.xxhash64(record), F.lit(salts)).cast("int")
     tokens = df.select(*term, F.col(record).alias("__record"), salt.alias("__salt"), F.coalesce(weight.cast("bigint"), F.lit(0)).alias("__weight"))
-    tokens = tokens.groupBy(*term, "__salt", "__record").agg(F.sum("__weight").alias("__weight"))
-    seen = W.partitionBy(*term, "__salt").orderBy(F.col("__record").asc_nulls_first())
-    changed = (F.row_number().over(seen) == 1) | ~F.col("__record").eqNullSafe(F.lag("__record").over(seen))
-    counted = tokens.withColumn("__new", changed.cast("bigint"))
-    counted = counted.groupBy(*term, "__salt").agg(F.sum("__weight").alias("__o"), F.sum("__new").alias("__r"))
+    counted = last_seen(tokens, [*term, "__salt"], "__record").groupBy(*term, "__salt").agg(F.sum("__weight").alias("__o"), F.sum("__new").alias("__r"))
     return counted.groupBy(*term).agg(F.sum("__o").alias("occurrences"), F.sum("__r").alias("records"))
 
 
