@@ -99,3 +99,36 @@ def test_terms(spark):
     got = {(r.form, r.pos): (r.freq, r.slices, r.mark) for r in terms.word_marks(df).collect()}
     assert got == {("dog", "N"): (1, 2, "rare"), ("the", "D"): (10, 2, "common"), ("mid", "N"): (9, 1, None), (None, None): (1, 1, "rare")}
     assert terms.word_marks(df.limit(0)).count() == 0
+
+
+def test_last_seen_meets_repeats(spark):
+    """The counter runs over the tokens themselves: a record that comes again, in any place, doesn't count again."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice("ab"), rnd.choice([1, 2, 3, None])) for _ in range(200)]
+    out = terms.last_seen(spark.createDataFrame(rows, "t string, rec int").repartition(5), ["t"], "rec")
+    assert out.count() == 200 and out.filter("__new = 0").count() == 192
+    assert {(r.t, r.n) for r in out.groupBy("t").agg(F.sum("__new").alias("n")).collect()} == {("a", 4), ("b", 4)}
+
+
+def test_baskets_are_reduced_before_pairs(spark, monkeypatch):
+    items = [f"v{k:04d}" for k in range(5000)]
+    df = spark.createDataFrame([(items, 1), (["v0001", "v0100", "v4999"], 3), (["v0001"], 9), (["other", "v0001", "v4999"], 2)], "items array<string>, weight long")
+    want = {("v0001", "v0100"): 4, ("v0001", "v4999"): 6, ("v0100", "v4999"): 4}
+    frequent = spark.createDataFrame([(x,) for x in ("v0001", "v0100", "v4999")], "item string")
+    for literal in (10, 2):
+        monkeypatch.setattr(together, "LITERAL_ITEMS", literal)
+        few = together.reduce_baskets(df, frequent, 3)
+        assert {tuple(r["items"]): r.weight for r in few.collect()} == {("v0001", "v0100", "v4999"): 4, ("v0001", "v4999"): 2}
+        assert {(r.item_a, r.item_b): r.n_ab for r in together.pairs_in(df, 4, None).collect()} == want
+    assert together.enumerate_pairs(few).count() == 4
+
+
+def test_large_baskets_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(together, "LARGE", 7)
+    baskets = [([f"i{k:02d}" for k in range(n)], n + 1) for n in (0, 1, 2, 6, 7, 8, 14, 15, 40)]
+    df = spark.createDataFrame(baskets, "items array<string>, weight long")
+    want = Counter()
+    for b, w in baskets:
+        for p in itertools.combinations(b, 2):
+            want[p, w] += 1
+    assert Counter(((r.item_a, r.item_b), r.weight) for r in together.enumerate_pairs(df).collect()) == want
