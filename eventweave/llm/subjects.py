@@ -17,6 +17,8 @@ SENTENCE_END = r"(?<=[.!?])\s+|\n\s*\n"
 WORD = r"\p{L}++(?:['’-]++\p{L}++)*+"
 #: Verified terms and labelled documents up to these numbers (about 150 and 40 bytes each) are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_TERMS, BROADCAST_SEEDS = 100_000, 200_000
+#: Votes are counted in these parts.
+UNIT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -90,12 +92,15 @@ class _Links:
         self.k, self.prior, self.chance = k, prior, sum(x * x for x in pi)
 
     def _votes(self, n: Column, least: float) -> Column:
-        """The votes of one link for each subject, from the counts `n` (an array); null below the agreement `least`. Arrays keep each step computed once."""
+        """The votes of one link for each subject, from the counts `n` (an array), in millionths; null below the agreement `least`. Arrays keep each step computed once.
+
+        Whole numbers add up to the same in any order, and cheaply.
+        """
         plus = lambda a, b: a + b
         shares = lambda n: let(F.aggregate(n, F.lit(self.prior), plus), lambda total: F.transform(n, lambda x: (x + self.prior / self.k) / total))
         agreement = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x * x)
         weight = lambda p: (agreement(p) - self.chance) / (1 - self.chance)
-        return let(shares(n), lambda p: let(weight(p), lambda w: F.when((w >= least) & (w > 0), F.transform(p, lambda x: F.round(w * x, 9)))))
+        return let(shares(n), lambda p: let(weight(p), lambda w: F.when((w >= least) & (w > 0), F.transform(p, lambda x: (w * x * UNIT + 0.5).cast("bigint")))))
 
     def votes(self, df: DataFrame, n: Column, keep: list[str], least: float = 0.0) -> DataFrame:
         """`keep` and v0...: what each link adds to the subjects of a sentence; links below `least` are dropped."""
@@ -121,7 +126,7 @@ def _shares(mass: list[float]) -> list[float]:
 
 
 def _sum(df: DataFrame, by: list[str], k: int) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.round(F.sum(f"v{i}"), 6).alias(f"v{i}") for i in range(k)])
+    return df.groupBy(*by).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)])
 
 
 def _best(k: int, similarity: float, majority: float) -> Column:
@@ -129,7 +134,7 @@ def _best(k: int, similarity: float, majority: float) -> Column:
     v = [F.col(f"v{i}") for i in range(k)]
     best = F.greatest(*v) if k > 1 else v[0]
     place = F.coalesce(*[F.when(x == best, F.lit(i)) for i, x in enumerate(v)])
-    return F.when((best >= similarity) & (best >= majority * sum(v, F.lit(0.0))), place)
+    return F.when((best >= similarity * UNIT) & (best >= majority * sum(v, F.lit(0))), place)
 
 
 def _by_document(df: DataFrame, own: str, k: int) -> DataFrame:
@@ -166,7 +171,7 @@ def _first_counts(known: DataFrame, k: int, g: Graph) -> DataFrame:
         votes = links.votes(counts, F.array(*_n(k)), ["term"])
         met = known.select("uid", "doc_id", "own", F.explode("terms").alias("term"))
         summed = _sum(met.join(votes, "term"), ["uid"], k)
-        inside = [F.when(F.array_contains("own", i), F.col(f"v{i}") * F.col(f"v{i}")).otherwise(0.0) for i in range(k)]
+        inside = [F.when(F.array_contains("own", i), (F.col(f"v{i}") / UNIT) * (F.col(f"v{i}") / UNIT)).otherwise(0.0) for i in range(k)]
         each = met.join(summed, "uid").select("doc_id", "term", *[x.alias(f"z{i}") for i, x in enumerate(inside)])
         whole = F.greatest(sum((F.col(f"z{i}") for i in range(k)), F.lit(0.0)), F.lit(1e-12))
         each = each.groupBy("doc_id", "term").agg(*[F.avg(F.col(f"z{i}") / whole).alias(f"n{i}") for i in range(k)])
@@ -224,7 +229,8 @@ def propagate(docs: DataFrame, labels: DataFrame, subjects: list[str], g: Graph
         if r == g.rounds:
             break
         joined = rows.select("uid", "terms").join(found.filter(~F.col("clamped")).select("uid", "k").hint("shuffle_hash"), "uid", "left")
-        each = joined.select(F.explode("terms").alias("term"), "k").groupBy("term").agg(F.count(F.lit(1)).alias("frequency"), *[F.count_if(F.col("k") == i).alias(f"n{i}") for i in range(k)])
+        each = joined.select(F.explode("terms").alias("term"), "k").groupBy("term", "k").agg(F.count(F.lit(1)).alias("n"))  # two numbers a row, opened when they are few
+        each = each.groupBy("term").agg(F.sum("n").alias("frequency"), *[F.coalesce(F.sum(F.when(F.col("k") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(k)])
         new = materialize(each.filter(F.col("frequency") >= g.links), "counts")
         before, mass = mass, _mixture(new, k)
         release(counts)
