@@ -66,10 +66,10 @@ def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """One row about the packing of all texts by characters into containers of 20,000: items, pieces and total, containers that are too full, small items that were
-    divided, and whether there are at most one in a hundred more containers, and one, than the total needs."""
-    capacity = 20_000
-    sized = table(spark, sf, "documents").select("doc_id", F.length("text").alias("size"))
+    """One row about the packing of all texts, sized by started four characters, into containers of 2048: items, pieces and total, containers that are too full, small items
+    that were divided, and whether there are at most one in a hundred more containers, and one, than the total needs."""
+    capacity = 2048
+    sized = table(spark, sf, "documents").select("doc_id", F.ceil(F.length("text") / 4).alias("size"))
     packed = packing.pack(sized, ["doc_id"], "size", capacity)
     per = packed.groupBy("container").agg(F.sum("n").alias("held")).filter(F.col("held") > 0).agg(F.count(F.lit(1)).alias("containers"), F.count_if(F.col("held") > capacity).alias("too_full"))
     cut = packed.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
@@ -131,6 +131,6 @@ ORACLE: dict[str, str] = {
     "p4_pairs": _PAIRS + " SELECT item_a, item_b, n_a, n_b, n_ab, round(n_ab * CAST(n AS DOUBLE) / (CAST(n_a AS DOUBLE) * n_b), 3) AS lift FROM pairs",
     "p5_found": _WORDS + " SELECT form, pos, mark FROM marked WHERE mark IS NOT NULL AND form IS NOT NULL",
     "p5_words": _WORDS + " SELECT form, pos, freq, slices, mark FROM marked",
-    "p7_fill": """WITH d AS (SELECT coalesce(length(text), 0) AS n FROM documents)
-SELECT CAST(count(*) AS BIGINT) AS items, CAST(sum(greatest(ceil(n / 20000), 1)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS divided, true AS all_held, true AS near_least FROM d""",
+    "p7_fill": """WITH d AS (SELECT CAST(coalesce(ceil(length(text) / 4), 0) AS BIGINT) AS n FROM documents)
+SELECT CAST(count(*) AS BIGINT) AS items, CAST(sum(greatest(ceil(n / 2048), 1)) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS total, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS divided, true AS all_held, true AS near_least FROM d""",
 }
