@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.functions.labels import Labels, accepted_lemma, accepted_relation, entity_or, standard_pos, standard_role
 from eventweave.functions.sets import explode_subsets
-from eventweave.functions.text import role_key
+from eventweave.functions.text import ALL_BLANKS, role_key, strip
 from eventweave.operators import counting, graph, malformed
 from eventweave.operators.dependencies import build_dependencies, build_groups, keep_lemmas
+from eventweave.operators.latest import latest_rows
 from eventweave.operators.sentences import line_sentences
 from eventweave.plans.lines import LINES_SQL
-from eventweave.session import table
+from eventweave.session import scratch_dir, table
+from eventweave.sources import conll
 
 LEMMA_THRESHOLD, EVENT_THRESHOLD, SMALL_LIMIT = 5, 2, 4
 
@@ -33,6 +37,26 @@ def conll_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _sentences(spark, sf).select("file_name", "sentence", F.explode("tokens").alias("t")).select("file_name", "sentence", "t.*")
 
 
+def read_conll(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus lines written as text files and read again by the file reader: a third of the files with carriage returns, a third with blanks in the lines between sentences."""
+    rows = table(spark, sf, "corpus_lines").filter(F.col("file_name").isNotNull() & F.col("line_no").isNotNull())
+    rows = latest_rows(rows.select("file_name", "line_no", "line", "loaded_at", "line_id"), ["file_name", "line_no"], "loaded_at", ["line_id"])
+    kinds = table(spark, sf, "corpus_files").groupBy("file_name").agg(F.max("delim").alias("delim"))
+    text = F.translate(strip(F.coalesce("line", F.lit("")), ALL_BLANKS), "\n\r", "  ")
+    style = F.pmod(F.crc32("file_name"), F.lit(3))
+    written = F.concat(F.when((style == 2) & (text == ""), " \t").otherwise(text), F.when(style == 1, "\r").otherwise(""))
+    rows = rows.join(kinds, "file_name", "left").select("file_name", F.coalesce("delim", F.lit("space")).alias("delim"), "line_no", written.alias("value"))
+    folder = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    ordered = rows.repartition("delim", "file_name").sortWithinPartitions("delim", "file_name", "line_no")
+    ordered.select("value", "delim", "file_name").write.partitionBy("delim", "file_name").text(folder)
+    out = []
+    for kind in ("space", "tab"):
+        names = [x for x in spark.read.text(folder).inputFiles() if f"/delim={kind}/" in x]
+        out.append(conll.read_conll(spark, names, malformed.DELIMITERS[kind], strict=False))
+    tokens = out[0].unionByName(out[1]).select(F.regexp_extract("file", "file_name=([^/]*)", 1).alias("file_name"), F.explode("tokens").alias("t"))
+    return tokens.select("file_name", "t.*")
+
+
 def charset_filter(spark: SparkSession, sf: str) -> DataFrame:
     t = malformed.tokens(table(spark, sf, "corpus_lines"), table(spark, sf, "corpus_files"))
     return t.filter(accepted_lemma(F.col("lemma"))).select("line_id", "lemma")
@@ -147,7 +171,7 @@ def orphan_edges_anti(spark: SparkSession, sf: str) -> DataFrame:
     return graph.orphans(counting.lemma_freqs(built, LEMMA_THRESHOLD), counting.event_freqs(build_groups(built)))
 
 
-QUERIES = [conll_tokens, charset_filter, entity_substitution, pos_standardise, role_standardise, prefix_relation_filter, sentence_words, dependencies, lemma_freq, lemma_freq_thresh, lemma_total, group_build, accepted_lemma_semi, powerset_patterns, event_freq, event_freq_thresh, event_freq_small_groups, merged_freqs, arity_freq, token_cube, word_prob, event_prob_by_arity, args_edges, args_weighted, orphan_edges_anti]
+QUERIES = [conll_tokens, read_conll, charset_filter, entity_substitution, pos_standardise, role_standardise, prefix_relation_filter, sentence_words, dependencies, lemma_freq, lemma_freq_thresh, lemma_total, group_build, accepted_lemma_semi, powerset_patterns, event_freq, event_freq_thresh, event_freq_small_groups, merged_freqs, arity_freq, token_cube, word_prob, event_prob_by_arity, args_edges, args_weighted, orphan_edges_anti]
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LATEST = """source AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, line_no ORDER BY loaded_at DESC NULLS LAST, line_id DESC) AS last
@@ -156,16 +180,27 @@ _JUDGED = LINES_SQL.replace("source AS (SELECT * FROM corpus_lines)", _LATEST)
 _STANDARD_ROLE = "CASE deprel WHEN 'nsubjpass' THEN 'dobj' WHEN 'csubjpass' THEN 'ccomp' WHEN 'nsubj:xsubj' THEN 'nsubj' WHEN 'nmod:agent' THEN 'nsubj' ELSE deprel END"
 _STANDARD_POS = "CASE WHEN left(upos, 1) IN ('V', 'N', 'J') THEN left(upos, 1) ELSE upos END"
 _IS_LEMMA = "regexp_full_match({0}, '[A-Za-z0-9.''-]+') AND regexp_matches({0}, '[A-Za-z]')"
-_TOKENS = f"""{_JUDGED},
-  bounds AS (SELECT file_name, line_no, coalesce(sum(CASE WHEN trim(coalesce(line, ''), {_BLANKS}) = '' THEN 1 ELSE 0 END)
-      OVER (PARTITION BY file_name ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM source),
-  parsed AS (SELECT b.sentence, j.* FROM judged j JOIN bounds b USING (file_name, line_no)),
-  fine AS (SELECT file_name, sentence FROM parsed GROUP BY ALL HAVING count(reason) = 0),
-  accepted AS (SELECT p.file_name, p.sentence, p.line_no, p.id, f[4] AS upos, f[4] IN ('NNP', 'NNPS') AND f[5] <> 'O' AS is_ne, f[5] AS ne, f[2] AS raw_text, f[3] AS raw_lemma, p.r
+_BOUNDS = f"""bounds AS (SELECT file_name, line_no, coalesce(sum(CASE WHEN trim(coalesce(line, ''), {_BLANKS}) = '' THEN 1 ELSE 0 END)
+      OVER (PARTITION BY file_name ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sentence FROM source)"""
+_ACCEPTED = f"""accepted AS (SELECT p.file_name, p.sentence, p.line_no, f[1] AS id, f[4] AS upos, f[4] IN ('NNP', 'NNPS') AND f[5] <> 'O' AS is_ne, f[5] AS ne, f[2] AS raw_text, f[3] AS raw_lemma, p.r
     FROM parsed p JOIN fine USING (file_name, sentence) WHERE {_IS_LEMMA.format("f[3]")}),
   opened AS (SELECT *, unnest(r) AS rel, unnest(range(len(r))) AS k FROM accepted),
   tokens AS (SELECT file_name, sentence, line_no, k, id, CASE WHEN is_ne THEN ne ELSE raw_text END AS text, CASE WHEN is_ne THEN ne ELSE lower(raw_lemma) END AS lemma, upos,
       string_split(rel, '=')[-1] AS head, left(rel, length(rel) - length(string_split(rel, '=')[-1]) - 1) AS deprel FROM opened)"""
+_NO_BARE = f"""count_if(coalesce({_IS_LEMMA.format("f[3]")}, false) AND len(list_filter(r, lambda x: NOT contains(x, '='))) > 0) = 0"""
+_TOKENS = f"""{_JUDGED},
+  {_BOUNDS},
+  parsed AS (SELECT b.sentence, j.* FROM judged j JOIN bounds b USING (file_name, line_no)),
+  fine AS (SELECT file_name, sentence FROM parsed GROUP BY ALL HAVING count_if(coalesce(reason IN ('quoting', 'columns'), false)) = 0 AND {_NO_BARE}),
+  {_ACCEPTED}"""
+_READ = f"""{_LATEST},
+  {_BOUNDS},
+  plain AS (SELECT file_name, line_no, translate(trim(coalesce(line, ''), {_BLANKS}), chr(10) || chr(13), '  ') AS raw FROM source),
+  kinds AS (SELECT file_name, max(delim) AS delim FROM corpus_files GROUP BY 1),
+  cut AS (SELECT file_name, sentence, line_no, string_split(raw, CASE WHEN delim = 'tab' THEN chr(9) ELSE ' ' END) AS f FROM plain JOIN bounds USING (file_name, line_no) LEFT JOIN kinds USING (file_name) WHERE raw <> ''),
+  parsed AS (SELECT *, string_split(f[6], ',') AS r FROM cut),
+  fine AS (SELECT file_name, sentence FROM parsed GROUP BY ALL HAVING count_if(len(f) <> 6) = 0 AND {_NO_BARE}),
+  {_ACCEPTED}"""
 _WORDS = f"""{_TOKENS},
   kept AS (SELECT *, {_STANDARD_POS} AS pos, {_STANDARD_ROLE} AS role FROM tokens WHERE {_STANDARD_POS} IN ('V', 'N')),
   firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, sentence, id ORDER BY line_no, k) AS n FROM kept) WHERE n = 1),
@@ -200,11 +235,13 @@ GROUP BY GROUPING SETS ((lemma, pos, rel, ne), (lemma, pos), (pos, rel), (ne), (
 
 ORACLE = {
     "conll_tokens": f"WITH {_TOKENS} SELECT file_name, sentence, id, text, lemma, upos, head, deprel FROM tokens",
+    "read_conll": f"WITH {_READ} SELECT file_name, id, text, lemma, upos, head, deprel FROM tokens",
     "charset_filter": f"WITH {LINES_SQL} SELECT line_id, f[3] AS lemma FROM judged WHERE reason IS NULL AND {_IS_LEMMA.format('f[3]')}",
     "entity_substitution": f"WITH {LINES_SQL} SELECT line_id, CASE WHEN f[4] IN ('NNP', 'NNPS') AND f[5] <> 'O' THEN f[5] ELSE lower(f[3]) END AS lemma FROM judged WHERE reason IS NULL",
     "pos_standardise": "SELECT wordid, slice_id, pos, CASE WHEN left(pos, 1) IN ('V', 'N', 'J') THEN left(pos, 1) ELSE pos END AS standard FROM words_nodes",
     "role_standardise": f"WITH {_TOKENS} SELECT deprel, {_STANDARD_ROLE} AS role, CAST(count(*) AS BIGINT) AS n FROM tokens GROUP BY ALL",
-    "prefix_relation_filter": "SELECT role, CAST(count(*) AS BIGINT) AS n FROM event_word_edges WHERE regexp_matches(role, '^(nsubj|dobj|iobj|nmod|obl|xcomp)') GROUP BY role",
+    "prefix_relation_filter": f"""WITH keyed AS (SELECT lower(trim(role, {_BLANKS})) AS role FROM event_word_edges)
+SELECT role, CAST(count(*) AS BIGINT) AS n FROM keyed WHERE regexp_matches(role, '^(nsubj|dobj|iobj|nmod|obl|xcomp)') GROUP BY role""",
     "sentence_words": f"WITH {_WORDS} SELECT file_name, sentence, id, lemma, upos FROM words",
     "dependencies": f"WITH {_WORDS} SELECT file_name, sentence, head, id, role FROM deps",
     "lemma_freq": f"WITH {_LEMMAS} SELECT lemma, pos, freq FROM lemmas",

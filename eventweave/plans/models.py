@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from eventweave.operators.evaluate import pair_similarity
 from eventweave.operators.graph import Graph
 from eventweave.operators.knowledge import in_vocabulary, knowledge, requests_of
 from eventweave.operators.ordering import number_rows, spearman
-from eventweave.operators.prepare import pair_mapping, prepare_analogies, prepare_fit, prepare_pairs
+from eventweave.operators.prepare import EXPERIMENTS, pair_mapping, prepare_analogies, prepare_fit, prepare_pairs
 from eventweave.plans.graphs import GRAPH_SQL, RELATIONS, STOP, delivered, thousandths
 from eventweave.session import table
 
@@ -26,19 +28,19 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _space(spark: SparkSession, sf: str, d: Graph) -> DataFrame:
-    """A vector space for the words of the graph: the form of word id i has vector i modulo their number; every tenth word has none."""
+    """A vector space for the words of the graph: the form of word id i has vector i modulo their number."""
     e = _vectors(spark, sf)
     n = e.count()
-    forms = d.words.groupBy("form").agg(F.max("word_id").alias("word_id")).filter(F.col("word_id") % 10 != 0)
+    forms = d.words.groupBy("form").agg(F.max("word_id").alias("word_id"))
     return forms.join(e.select("vec_id", "vec"), F.col("word_id") % n == F.col("vec_id")).select("form", "vec")
 
 
 def _triples(d: Graph) -> DataFrame:
-    """(row_id, s, v, o, freq): the distinct events of a subject, a head and an object, by form."""
+    """(row_id, s, v, o, freq): the distinct subjects, heads and objects of all events that have them, by form; of several the first counts."""
     m = F.split("form", ",")
     of = lambda role: F.get(F.filter(m, lambda x: x.endswith(f"@{role}")), F.lit(0))
     lemma = lambda x: F.lower(F.get(F.split(x, "@"), F.lit(0)))
-    rows = d.events.filter(F.col("deg") == 3).select(lemma(of("nsubj")).alias("s"), lemma(of("HEAD")).alias("v"), lemma(of("dobj")).alias("o"), "freq").dropna()
+    rows = d.events.select(lemma(of("nsubj")).alias("s"), lemma(of("HEAD")).alias("v"), lemma(of("dobj")).alias("o"), "freq").dropna()
     rows = rows.groupBy("s", "v", "o").agg(F.sum("freq").cast("bigint").alias("freq"))
     return number_rows(rows, [F.col("s").asc(), F.col("v").asc(), F.col("o").asc()], "row_id", 0)
 
@@ -123,8 +125,10 @@ def prepare_ks_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prepare_dtfit(spark: SparkSession, sf: str) -> DataFrame:
+    """The items of every experiment."""
     t = _triples(delivered(spark, sf))
-    return prepare_fit(t.select("row_id", F.col("s").alias("SUBJECT"), F.col("v").alias("VERB"), F.col("o").alias("OBJECT")), "Recipient")
+    t = t.select("row_id", F.col("s").alias("SUBJECT"), F.col("v").alias("VERB"), F.col("o").alias("OBJECT"))
+    return reduce(DataFrame.unionByName, [prepare_fit(t, x).withColumn("experiment", F.lit(x)) for x in EXPERIMENTS])
 
 
 def prepare_tfit(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,10 +163,11 @@ def gek_batched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ac_vector(spark: SparkSession, sf: str) -> DataFrame:
-    """Both vectors of every item."""
+    """Both vectors of every item, one row a number."""
     d = thousandths(delivered(spark, sf))
     out = r.represent(_items(_triples(d)), d, _space(spark, sf, d), RELATIONS, SETTINGS)
-    return out.select("item_id", "target", F.transform("lc", lambda x: F.round(x, 6)).alias("lc"), F.transform("ac", lambda x: F.round(x, 6)).alias("ac"))
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("vec")) for c in ("lc", "ac")]))
+    return _opened(out.select("item_id", "target", both.alias("v")).select("item_id", "target", "v.*"), ["item_id", "target", "kind"])
 
 
 def ac_first_step(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,11 +196,11 @@ _LISTS = f"{_E}, lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 _OPEN = "unnest(range(len({0}))) AS i, round(unnest({0}), 6) + 0.0 AS x"
 _COS = "list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0)"
 _TRIPLES = f"""{GRAPH_SQL},
-  three AS (SELECT freq, string_split(form, ',') AS m FROM e WHERE len(string_split(form, ',')) = 3),
+  three AS (SELECT freq, string_split(form, ',') AS m FROM e),
   named AS (SELECT freq, lower(string_split(list_filter(m, lambda x: ends_with(x, '@nsubj'))[1], '@')[1]) AS s, lower(string_split(list_filter(m, lambda x: ends_with(x, '@HEAD'))[1], '@')[1]) AS v,
       lower(string_split(list_filter(m, lambda x: ends_with(x, '@dobj'))[1], '@')[1]) AS o FROM three),
   triples AS (SELECT s, v, o, CAST(sum(freq) AS BIGINT) AS freq, row_number() OVER (ORDER BY s, v, o) - 1 AS row_id FROM named WHERE s IS NOT NULL AND v IS NOT NULL AND o IS NOT NULL GROUP BY s, v, o)"""
-_SPACE = f"""{_E}, forms AS (SELECT form, max(word_id) AS word_id FROM w GROUP BY form), space AS (SELECT form, vec FROM forms JOIN vectors ON vec_id = word_id % (SELECT count(*) FROM embeddings) WHERE word_id % 10 <> 0)"""
+_SPACE = f"""{_E}, forms AS (SELECT form, max(word_id) AS word_id FROM w GROUP BY form), space AS (SELECT form, vec FROM forms JOIN vectors ON vec_id = word_id % (SELECT count(*) FROM embeddings))"""
 _KS = """SELECT row_id AS item_id, {0} AS item, 'SENTENCE' AS target FROM triples WHERE row_id < (SELECT count(*) // 2 * 2 FROM triples)"""
 _REL = "rel(rel, role) AS (VALUES ('SBJ', 'nsubj'), ('OBJ', 'dobj'), ('ROOT', NULL))"
 _FOUND = f"""hops AS (SELECT n.form, n.pos, x.rel, y.rel AS box, a.role, b.role AS role2, m.form AS label, m.pos AS label_pos, round(b.pmi * 1000) AS pmi
@@ -204,6 +209,21 @@ _FOUND = f"""hops AS (SELECT n.form, n.pos, x.rel, y.rel AS box, a.role, b.role
   asked AS (SELECT s AS form, 'N' AS pos, 'SBJ' AS rel FROM triples UNION SELECT v, 'V', 'ROOT' FROM triples UNION SELECT o, 'N', 'OBJ' FROM triples),
   sums AS (SELECT form, pos, rel, box, label, label_pos, role, role2, CAST(coalesce(sum(pmi), 0) AS BIGINT) AS w FROM hops GROUP BY ALL),
   found AS (SELECT *, CAST(row_number() OVER (PARTITION BY form, pos, rel, box ORDER BY w DESC, label, label_pos, role NULLS FIRST, role2 NULLS FIRST) AS INTEGER) AS rank FROM sums)"""
+# the fold of an item: a word is asked for the other relations only, so a context has two lists at most: `c2` ranks the second by the first, then `c1` the first by that
+_FOLD = f"""{_FOUND},
+  words AS (SELECT row_id, step, form, pos, rel, vec FROM (SELECT row_id, unnest([0, 1, 2]) AS step, unnest([s, v, o]) AS form, unnest(['N', 'V', 'N']) AS pos, unnest(['SBJ', 'ROOT', 'OBJ']) AS rel FROM triples) JOIN space USING (form)),
+  lists AS (SELECT w.row_id, f.box, dense_rank() OVER (PARTITION BY w.row_id, f.box ORDER BY w.step) AS place, row_number() OVER (PARTITION BY w.row_id, f.box, w.step ORDER BY f.rank) AS n, s.vec
+    FROM words w JOIN found f ON f.form = w.form AND f.pos = w.pos AND f.rel = w.rel AND f.rank <= {SETTINGS.n} JOIN space s ON s.form = f.label),
+  opened AS (SELECT row_id, box, unnest(range(len(vec))) AS i, unnest(vec) AS x, n FROM lists WHERE place = 1 AND n <= {SETTINGS.m}),
+  h1 AS (SELECT row_id, box, list(x ORDER BY i) AS vec FROM (SELECT row_id, box, i, sum(x ORDER BY n) / count(*) AS x FROM opened GROUP BY ALL) GROUP BY ALL),
+  second AS (SELECT row_id, box, l.vec, row_number() OVER (PARTITION BY row_id, box ORDER BY {_COS.format('l.vec', 'h1.vec')} DESC NULLS LAST, n) AS n FROM lists l JOIN h1 USING (row_id, box) WHERE place = 2),
+  opened2 AS (SELECT row_id, box, unnest(range(len(vec))) AS i, unnest(vec) AS x, n FROM second WHERE n <= {SETTINGS.m}),
+  h2 AS (SELECT row_id, box, list(x ORDER BY i) AS vec FROM (SELECT row_id, box, i, sum(x ORDER BY n) / count(*) AS x FROM opened2 GROUP BY ALL) GROUP BY ALL),
+  first AS (SELECT l.row_id, l.box, l.vec, row_number() OVER (PARTITION BY l.row_id, l.box ORDER BY {_COS.format('l.vec', 'h2.vec')} DESC NULLS LAST, l.n) AS n FROM lists l LEFT JOIN h2 ON h2.row_id = l.row_id AND h2.box = l.box WHERE l.place = 1),
+  opened1 AS (SELECT row_id, box, unnest(range(len(vec))) AS i, unnest(vec) AS x, n FROM first WHERE n <= {SETTINGS.m}),
+  means AS (SELECT row_id, box, i, sum(x ORDER BY n) / count(*) AS x FROM opened1 GROUP BY ALL UNION ALL SELECT row_id, box, i, sum(x ORDER BY n) / count(*) AS x FROM opened2 GROUP BY ALL),
+  boxes AS (SELECT row_id, box, i, avg(x) AS x FROM means GROUP BY ALL)"""
+_TARGET = "(CASE row_id % 3 WHEN 0 THEN 'SENTENCE' WHEN 1 THEN 'OBJ' ELSE 'SBJ' END)"
 
 ORACLE = {
     "vec_truncate": f"WITH {_E} SELECT vec_id, {_OPEN.format('vec[-8:]')}, 'last' AS part FROM vectors UNION ALL SELECT vec_id, {_OPEN.format('vec[1:8]')}, 'first' FROM vectors",
@@ -213,13 +233,15 @@ ORACLE = {
     "cosine_rank": f"WITH {_E} SELECT a.vec_id, round({_COS.format('a.vec', 'b.vec')}, 6) AS score FROM vectors a, vectors b WHERE b.vec_id = 0",
     "cosine_eval_zero": f"""WITH {_E}, z AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(vec, lambda x: 0.0::DOUBLE) WHEN vec_id % 5 = 0 THEN list_transform(vec, lambda x, i: CASE WHEN i = 1 THEN 0.0 ELSE x END) ELSE vec END AS a, list_reverse(vec) AS b FROM vectors)
 SELECT vec_id, round(coalesce({_COS.format('a', 'b')}, 0), 6) AS score FROM z""",
-    "rerank_stable": f"""WITH {_LISTS}, s AS (SELECT l.label, l.vec_id, l.n, {_COS.format('l.vec', 'h.vec')} AS score FROM lists l JOIN lists h ON h.label = l.label AND h.n = 1)
+    "rerank_stable": f"""WITH {_E}, numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM vectors),
+  s AS (SELECT l.label, l.vec_id, l.n, {_COS.format('l.vec', 'h.vec')} AS score FROM numbered l JOIN numbered h ON h.label IS NOT DISTINCT FROM l.label AND h.n = 1)
 SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC NULLS LAST, n) - 1 AS INTEGER) AS place, vec_id FROM s""",
     "relation_set_ops": f"WITH {_TRIPLES} SELECT row_id AS item_id, CASE WHEN row_id % 2 = 0 THEN 'LOCATION,OBJ,ROOT,SBJ' ELSE 'OBJ,ROOT,SBJ' END AS relations FROM triples",
     "prepare_ks": f"WITH {_TRIPLES} {_KS.format("s || '@N@SBJ ' || v || '@V@ROOT ' || o || '@N@OBJ'")}",
     "prepare_ks_verbs_first": f"WITH {_TRIPLES} {_KS.format("v || '@V@ROOT ' || s || '@N@SBJ ' || o || '@N@OBJ'")}",
     "prepare_ks_mapping": f"WITH {_TRIPLES} SELECT row_id // 2 AS orig, row_id AS row1, row_id + 1 AS row2 FROM triples WHERE row_id % 2 = 0 AND row_id + 1 < (SELECT count(*) FROM triples)",
-    "prepare_dtfit": f"WITH {_TRIPLES} SELECT row_id AS item_id, s || '@N@SBJ ' || v || '@V@ROOT  ' || o || '@N@OBJ' AS item, 'RECIPIENT' AS target FROM triples",
+    "prepare_dtfit": f"""WITH {_TRIPLES}, kinds(experiment, target) AS (VALUES ('Triples', 'OBJ'), ('Loc', 'LOCATION'), ('Instr', 'INSTRUMENT'), ('Time', 'TIME'), ('Recipient', 'RECIPIENT'))
+SELECT row_id AS item_id, s || '@N@SBJ ' || v || '@V@ROOT' || CASE WHEN experiment = 'Triples' THEN '' ELSE '  ' || o || '@N@OBJ' END AS item, target, experiment FROM triples, kinds""",
     "prepare_tfit": f"""WITH {GRAPH_SQL} SELECT word_id AS item_id, CASE WHEN form NOT LIKE '%-%' AND form NOT LIKE '%\\_%' ESCAPE '\\' THEN form || '@' || upper(pos) || CASE WHEN pos = 'V' THEN '@ROOT' ELSE '@SBJ' END END AS item,
   CASE WHEN form NOT LIKE '%-%' AND form NOT LIKE '%\\_%' ESCAPE '\\' THEN 'OBJ' END AS target FROM w""",
     "spearman_events": """WITH b AS (SELECT freq AS x, deg AS y FROM events_nodes WHERE freq IS NOT NULL AND deg IS NOT NULL),
@@ -234,4 +256,14 @@ SELECT row_id AS item_id, CAST(i AS INTEGER) AS i, round(sum(x ORDER BY rel) / c
   known AS (SELECT v.item_id, f.rank, s.vec, row_number() OVER (PARTITION BY v.item_id ORDER BY f.rank) AS n FROM verbs v SEMI JOIN space USING (form) JOIN found f ON f.form = v.form AND f.pos = 'V' AND f.rel = 'ROOT' AND f.box = 'OBJ' AND f.rank <= {SETTINGS.n} JOIN space s ON s.form = f.label),
   o AS (SELECT item_id, n, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM known WHERE n <= {SETTINGS.m})
 SELECT item_id, CAST(i AS INTEGER) AS i, round(sum(x ORDER BY n) / count(*), 6) + 0.0 AS x FROM o GROUP BY item_id, i""",
+    "ac_vector": f"""WITH {_TRIPLES}, {_SPACE}, {_REL}, {_FOLD},
+  ac AS (SELECT row_id, i, avg(x) AS x FROM boxes WHERE {_TARGET} IN ('SENTENCE', box) GROUP BY ALL),
+  lc AS (SELECT row_id, i, avg(x) AS x FROM (SELECT row_id, rel, unnest(range(len(vec))) AS i, unnest(vec) AS x FROM words WHERE {_TARGET} IN ('SENTENCE', rel)) GROUP BY ALL)
+SELECT row_id AS item_id, {_TARGET} AS target, kind, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x FROM (SELECT *, 'lc' AS kind FROM lc UNION ALL SELECT *, 'ac' FROM ac)""",
+    "ks_scores": f"""WITH {_TRIPLES}, {_SPACE}, {_REL}, {_FOLD},
+  ac AS (SELECT row_id, list(x ORDER BY i) AS vec FROM (SELECT row_id, i, avg(x) AS x FROM boxes GROUP BY ALL) GROUP BY row_id),
+  pairs AS (SELECT a.row_id // 2 AS pair, least(a.freq, b.freq) AS score, {_COS.format('x.vec', 'y.vec')} AS sims FROM triples a JOIN triples b ON b.row_id = a.row_id + 1 AND a.row_id % 2 = 0
+    JOIN ac x ON x.row_id = a.row_id JOIN ac y ON y.row_id = b.row_id),
+  r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rx, rank() OVER (ORDER BY sims) + (count(*) OVER (PARTITION BY sims) - 1) / 2 AS ry FROM pairs)
+SELECT CAST(count(*) AS BIGINT) AS n, round(corr(rx, ry), 6) AS rho FROM r""",
 }
