@@ -118,6 +118,25 @@ def delivered_graph(words: DataFrame, events: DataFrame, edges: DataFrame) -> Gr
     return Graph(w, e, a)
 
 
+def rows_named(words: DataFrame, form: str) -> DataFrame:
+    """The delivered rows of all words that have this form in any of their rows: all that can come out with it."""
+    return words.join(words.filter(word_key(F.col("form")) == form).select("wordid").distinct(), "wordid", "left_semi")
+
+
+def delivered_neighbourhood(words: DataFrame, events: DataFrame, edges: DataFrame, form: str, pos: str | None = None) -> Graph:
+    """The part of the delivered graph that paths of two hops from a word can reach: its edges, all edges of its events, and their words and events.
+
+    The word's ids are found first; edges and nodes are filtered by ids that are part of the keys of their repeats, so only rows that come out are sorted.
+    """
+    nothing = events.limit(0), edges.limit(0)
+    own = delivered_graph(rows_named(words, form), *nothing).words.filter(F.col("form") == form)
+    own = own if pos is None else own.filter(F.col("pos") == pos)
+    near = edges.join(own.select("word_id"), "word_id", "left_semi").filter(F.col("event_id").isNotNull()).select("event_id").distinct()
+    around = edges.join(near, "event_id", "left_semi")
+    far = around.select(F.col("word_id").alias("wordid")).distinct()
+    return delivered_graph(words.join(far, "wordid", "left_semi"), events.join(near.withColumnRenamed("event_id", "eventid"), "eventid", "left_semi"), around)
+
+
 def relation_list(args: DataFrame) -> DataFrame:
     """(role): the distinct roles of edges, without null."""
     return args.filter(F.col("role").isNotNull()).select("role").distinct()

@@ -21,6 +21,11 @@ def delivered(spark: SparkSession, sf: str) -> g.Graph:
     return g.delivered_graph(table(spark, sf, "words_nodes"), table(spark, sf, "events_nodes"), table(spark, sf, "event_word_edges"))
 
 
+def around(spark: SparkSession, sf: str) -> g.Graph:
+    """What two hops from the word of the ad-hoc queries can reach."""
+    return g.delivered_neighbourhood(table(spark, sf, "words_nodes"), table(spark, sf, "events_nodes"), table(spark, sf, "event_word_edges"), FORM, POS)
+
+
 def thousandths(graph: g.Graph) -> g.Graph:
     """pmi in whole thousandths, so that sums don't depend on their order."""
     return g.Graph(graph.words, graph.events, graph.args.withColumn("pmi", F.round(F.col("pmi") * 1000)))
@@ -64,27 +69,28 @@ def g1_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g2_word(spark: SparkSession, sf: str) -> DataFrame:
-    return words_with(delivered(spark, sf), FORM).select("word_id", "pos", "freq")
+    named = g.rows_named(table(spark, sf, "words_nodes"), FORM)
+    return words_with(g.delivered_graph(named, table(spark, sf, "events_nodes"), table(spark, sf, "event_word_edges")), FORM).select("word_id", "pos", "freq")
 
 
 def g3_events(spark: SparkSession, sf: str) -> DataFrame:
-    d = delivered(spark, sf)
+    d = around(spark, sf)
     return events_of(d, words_with(d, FORM, POS)).select("event_id", "form").distinct().orderBy("event_id").limit(10)
 
 
 def g4_participants(spark: SparkSession, sf: str) -> DataFrame:
-    d = delivered(spark, sf)
+    d = around(spark, sf)
     order = ["event_id", F.col("role").asc_nulls_first(), F.col("role2").asc_nulls_first(), "form"]
     return participants(d, words_with(d, FORM, POS)).select("event_id", "role", "role2", "form").orderBy(*order).limit(30)
 
 
 def g5_subjects(spark: SparkSession, sf: str) -> DataFrame:
-    d = delivered(spark, sf)
+    d = around(spark, sf)
     return participants(d, words_with(d, FORM, POS), "nsubj").select("event_id", "role2", "form").orderBy("event_id", F.col("role2").asc_nulls_first(), "form").limit(30)
 
 
 def g6_objects(spark: SparkSession, sf: str) -> DataFrame:
-    d = delivered(spark, sf)
+    d = around(spark, sf)
     order = [F.col("pmi").desc_nulls_last(), "event_id", F.col("role2").asc_nulls_first(), "form"]
     return participants(d, words_with(d, FORM, POS), "dobj").select("word", "role", "pmi", "event", "event_id", "role2", "form").orderBy(*order).limit(10)
 
