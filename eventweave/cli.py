@@ -5,19 +5,25 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.functions.vectors import REPRESENTATIONS, WEIGHTS
 from eventweave.operators import counting, evaluate, graph
 from eventweave.operators.dependencies import build_dependencies, build_groups, keep_lemmas
-from eventweave.operators.ordering import spearman
+from eventweave.operators.ordering import spearman, spearman_p
 from eventweave.operators.prepare import EXPERIMENTS, ORDERS, PREPARE, pair_mapping, prepare_analogies, prepare_fit, prepare_pairs
-from eventweave.operators.representation import Settings, represent
-from eventweave.session import local_session, materialize
+from eventweave.operators.representation import Settings, represent, steps_of, trace
+from eventweave.session import local_session, materialize, scratch_dir
 from eventweave.sources import conll, datasets, files, freqs, graphs, vectors
+from eventweave.streaming import counts
+
+#: Options of batches and workers elsewhere.
+BATCHING = ("--workers", "--batch-sizes", "--batch-size-stats", "--batch-size-events", "--batch-size-input", "--batch-size-merge")
 
 log = logging.getLogger(__name__)
 
@@ -30,27 +36,64 @@ def _name(path: str) -> str:
     return os.path.basename(path.rstrip("/"))
 
 
+def _log_rows(spark: SparkSession, path: str) -> None:
+    log.info("%s: %d rows", path, spark.read.text(path).count())
+
+
 def extraction(a: argparse.Namespace, compression: str, thresholds: bool) -> None:
-    """Lemma and/or event frequencies of parsed corpora. Events need lemma counts for their threshold; without a file of them they are counted."""
+    """Lemma and/or event frequencies of parsed corpora. Events need lemma counts for their threshold; without a file of them they are counted.
+
+    `stream` works the folders off as streams of files, by the same operators; its results are the batch's.
+    """
     spark = _session()
     labels = files.read_labels(spark, a.labels)
     both = not a.s and not a.e
-    built = build_dependencies(conll.read_conll(spark, a.input_dirs, a.delimiter), labels)
-    lemmas = counting.lemma_freqs(built)
     suffix = "gz" if compression == "gzip" else "txt"
+    streamed = a.pipeline == "stream"
+    folder = f"{scratch_dir(spark)}/extraction-{uuid.uuid4().hex}"
+    if streamed:
+        sentences = lambda: reduce(DataFrame.unionByName, [counts.stream_sentences(spark, d, a.delimiter) for d in a.input_dirs])
+
+        def count_lemmas() -> DataFrame:
+            counts.run_to_folder(counts.stream_lemma_freqs(sentences(), labels), f"{folder}/lemmas", f"{folder}/lemmas-checkpoint")
+            return spark.read.parquet(f"{folder}/lemmas")
+    else:
+        built = build_dependencies(conll.read_conll(spark, a.input_dirs, a.delimiter), labels)
+        if both or (a.e and not a.lemmas_freqs_filepath):
+            built = materialize(built, "dependencies")  # read twice
+
+        def count_lemmas() -> DataFrame:
+            return counting.lemma_freqs(built)
+
+    from_file = a.e and a.lemmas_freqs_filepath and not both
+    lemmas = None if from_file else count_lemmas()
     if a.s or both:
-        freqs.write_freqs(counting.above(lemmas, a.word_thresh) if thresholds else lemmas, ["lemma", "pos"], f"{a.output_dir}/lemma-freqs.{suffix}", compression)
+        rows = counting.above(lemmas, a.word_thresh) if thresholds else lemmas
+        path = f"{a.output_dir}/lemma-freqs.{suffix}"
+        freqs.write_freqs(rows, ["lemma", "pos"], path, compression)
+        _log_rows(spark, path)
     if a.e or both:
         accepted = freqs.read_lemma_freqs(spark, a.lemmas_freqs_filepath, a.word_thresh) if a.lemmas_freqs_filepath else counting.above(lemmas, a.word_thresh)
-        groups = build_groups(built).withColumn("uid", F.monotonically_increasing_id()).select("uid", "members")
-        events = counting.event_freqs(keep_lemmas(groups, ["uid"], accepted), a.event_thresh if thresholds else None)
-        freqs.write_freqs(events, ["event"], f"{a.output_dir}/events-freqs.{suffix}", compression)
+        if streamed:
+            events = counts.run_events(sentences(), f"{folder}/events", f"{folder}/events-checkpoint", labels, accepted)
+        else:
+            groups = build_groups(built).withColumn("uid", F.monotonically_increasing_id()).select("uid", "members")
+            events = counting.event_freqs(keep_lemmas(groups, ["uid"], accepted))
+        path = f"{a.output_dir}/events-freqs.{suffix}"
+        freqs.write_freqs(counting.above(events, a.event_thresh if thresholds else None), ["event"], path, compression)
+        _log_rows(spark, path)
 
 
 def build_graph(a: argparse.Namespace) -> None:
     spark = _session()
     lemmas, events = freqs.read_lemma_freqs(spark, a.lemmas_f), freqs.read_event_freqs(spark, a.events_f)
+    bad = {path: freqs.rejected_freqs(spark, path).count() for path in (a.lemmas_f, a.events_f)}
+    for path, n in bad.items():
+        if n:
+            log.warning("%s: %d lines are no item and frequency and were left out", path, n)
     graphs.write_graph_files(graph.build_graph(lemmas, events, a.weights), a.output_dir)
+    for name, _ in graphs.FILES.values():
+        log.info("%s: %d rows", name, spark.read.csv(f"{a.output_dir}/{name}", sep="\t", header=True, quote="").count())
     missing = graph.orphans(lemmas, events).agg(F.sum("edges")).first()[0]
     if missing:
         log.warning("%d edges to words without a frequency were left out", missing)
@@ -89,7 +132,10 @@ def representations(a: argparse.Namespace) -> None:
     relations = files.read_relations(spark, a.relations)
     s = Settings(a.N_from_graph, a.M_build_rep, a.rank_forward, a.rank_backward, a.include_same_relations, a.weight_from_graph, a.weight_function, a.representation_function, a.vectors_with_PoS)
     for path in a.data:
-        datasets.write_results(represent(datasets.read_items(spark, path), g, space, relations, s), f"{a.output_dir}/{_name(path)}.out")
+        items = datasets.read_items(spark, path)
+        datasets.write_results(represent(items, g, space, relations, s), f"{a.output_dir}/{_name(path)}.out")
+        if a.trace:
+            datasets.write_trace(trace(steps_of(items, g, space, relations, s)[1], s), f"{a.output_dir}/{_name(path)}.log")
 
 
 def evaluation(a: argparse.Namespace) -> None:
@@ -104,7 +150,7 @@ def evaluation(a: argparse.Namespace) -> None:
         sims, score = evaluate.filler_similarity(results, gold, vectors.read_vectors(spark, a.vectors)), "mean_rat"
     sims = materialize(sims, "sims")
     n, rho = spearman(sims, score, "sims").first()
-    print(f"Spearman's correlation over {n} rows: {rho}")
+    print(f"Spearman's correlation over {n} rows: {rho}, p-value {spearman_p(n, rho)}")
     datasets.write_sims(sims, f"{a.output_dir}/{_name(a.data)}.sims")
 
 
@@ -128,13 +174,17 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--lemmas-freqs-filepath")
         p.add_argument("-s", action="store_true", help="lemma frequencies only")
         p.add_argument("-e", action="store_true", help="event frequencies only")
+        p.add_argument("-p", "--pipeline", choices=["conll", "stream"], default="conll", help="all files at once, or as a stream of files")
+        for flag in BATCHING:  # Spark divides the work; command lines that have them go on working
+            p.add_argument(flag, nargs="+", type=int, help="has no effect")
     p = command("build-graph", build_graph, "node and edge files of two frequency tables")
     p.add_argument("-l", "--lemmas-f", required=True)
     p.add_argument("-e", "--events-f", required=True)
     p.add_argument("--weights", choices=["zero", "pmi"], default="zero")
     p = command("import-graph", import_graph, "graph files into a table store")
     p.add_argument("-d", "--data", required=True)
-    p.add_argument("-n", "--store", required=True)
+    p.add_argument("-n", "--store", "--neo", required=True, help="folder of the table store")
+    p.add_argument("--copy", help="has no effect")
     p = command("extract-possible-relations", possible_relations, "roles of the graph's edges")
     p.add_argument("-g", "--store", required=True)
     p = command("prepare-input", prepare, "items of an original dataset")
@@ -156,6 +206,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--weight-from-graph", choices=["pmi", "lmi"], default="pmi")
     p.add_argument("--reduced-vec-len", type=int, default=-1)
     p.add_argument("--vectors_with_PoS", action="store_true")
+    p.add_argument("--trace", action="store_true", help="write the labels of the active context after each step")
     p = command("compute-evaluation", evaluation, "scores of representations")
     p.add_argument("-d", "--data", required=True)
     p.add_argument("-g", "--generated_data", required=True)

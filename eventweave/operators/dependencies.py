@@ -9,8 +9,9 @@ from eventweave.functions.labels import PERSON, PRONOUNS, Labels, accepted_pos,
 from eventweave.functions.sets import sorted_distinct
 
 
-def _word(words: Column, wanted: Column) -> Column:
-    return F.get(F.filter(words, lambda w: w["id"] == wanted), F.lit(0))
+def _word(words: Column, ids: Column, wanted: Column) -> Column:
+    """The word of an id; `ids` are those of `words`, in their order. A plain scan of them, without a lambda for each."""
+    return F.get(words, (F.array_position(ids, wanted) - 1).cast("int"))
 
 
 def build_dependencies(sentences: DataFrame, labels: Labels = Labels(), refine: bool = True, phrasal_verbs: bool = False) -> DataFrame:
@@ -26,14 +27,15 @@ def build_dependencies(sentences: DataFrame, labels: Labels = Labels(), refine:
     out = out.withColumn("words", F.transform(F.filter("__kept", lambda t, i: F.array_position("__ids", t["id"]) == i + 1), word))
     if refine:
         if phrasal_verbs:
-            particles = lambda w: F.transform(F.filter("__kept", lambda t: (t["head"] == w["id"]) & t["role"].contains("prt") & (_word(F.col("words"), t["id"])["upos"] == "RP")), lambda t: t["lemma"])
+            out = out.withColumn("__word_ids", F.transform("words", lambda w: w["id"]))
+            particles = lambda w: F.transform(F.filter("__kept", lambda t: (t["head"] == w["id"]) & t["role"].contains("prt") & (_word(F.col("words"), F.col("__word_ids"), t["id"])["upos"] == "RP")), lambda t: t["lemma"])
             joined = lambda w: F.struct(w["id"].alias("id"), F.when(w["upos"] == "V", F.array_join(F.concat(F.array(w["lemma"]), particles(w)), "_")).otherwise(w["lemma"]).alias("lemma"), w["upos"].alias("upos"))
             out = out.withColumn("words", F.transform("words", joined))
         is_pronoun = lambda w: w["lemma"].isin(*PRONOUNS)
         out = out.withColumn("words", F.transform("words", lambda w: F.struct(w["id"].alias("id"), F.when(is_pronoun(w), PERSON[0]).otherwise(w["lemma"]).alias("lemma"), F.when(is_pronoun(w), PERSON[1]).otherwise(w["upos"]).alias("upos"))))
     dep = lambda t: F.struct(t["head"].alias("head"), t["id"].alias("id"), t["role"].alias("role"))
     out = out.withColumn("deps", F.transform(F.filter("__kept", lambda t: F.array_contains("__ids", t["head"]) & accepted_relation(t["role"], labels)), dep))
-    return out.drop("__kept", "__ids", "tokens")
+    return out.drop("__kept", "__ids", "__word_ids", "tokens")
 
 
 def _member(word: Column, role: Column) -> Column:
@@ -43,10 +45,11 @@ def _member(word: Column, role: Column) -> Column:
 def build_groups(built: DataFrame) -> DataFrame:
     """One row per head with dependents: the other columns, `head` (token id) and `members`, the sorted distinct `lemma@pos@role` of head (HEAD) and dependents."""
     heads = F.array_distinct(F.transform("deps", lambda d: d["head"]))
-    rows = built.withColumn("head", F.explode(heads))
-    of_head = F.transform(F.filter("deps", lambda d: d["head"] == F.col("head")), lambda d: _member(_word(F.col("words"), d["id"]), d["role"]))
-    members = F.concat(F.array(_member(_word(F.col("words"), F.col("head")), F.lit("HEAD"))), of_head)
-    return rows.withColumn("members", sorted_distinct(members)).drop("words", "deps")
+    rows = built.withColumn("__ids", F.transform("words", lambda w: w["id"])).withColumn("head", F.explode(heads))
+    word = lambda i: _word(F.col("words"), F.col("__ids"), i)
+    of_head = F.transform(F.filter("deps", lambda d: d["head"] == F.col("head")), lambda d: _member(word(d["id"]), d["role"]))
+    members = F.concat(F.array(_member(word(F.col("head")), F.lit("HEAD"))), of_head)
+    return rows.withColumn("members", sorted_distinct(members)).drop("words", "deps", "__ids")
 
 
 def keep_lemmas(groups: DataFrame, keys: list[str], accepted: DataFrame | None) -> DataFrame:

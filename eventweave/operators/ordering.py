@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,3 +50,25 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     n = F.count(F.lit(1))
     rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
     return ranked.agg(n.alias("n"), rho.alias("rho"))
+
+
+def spearman_p(n: int, rho: float | None) -> float | None:
+    """Two-sided probability of a rank correlation at least as far from 0 by chance, by Student's distribution with n - 2 degrees of freedom; null for fewer than three rows."""
+    if rho is None or n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    return _beta_share((n - 2) / 2, 0.5, 1 - rho * rho)
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction (evaluated from the end that converges)."""
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a if x > 0 else 0.0
+    tail = 1.0
+    for m in range(300, 0, -1):
+        k = m // 2
+        term = k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)) if m % 2 == 0 else -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        tail = 1 + term / tail
+    return front / tail

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,12 +33,9 @@ class Settings:
     stop: tuple[str, ...] = STOP_NODES
 
 
-def fold_context(steps: Column, s: Settings = Settings()) -> Column:
-    """The active context after all steps: an array of lists, from an array of lists (one a step, in word order) of structs (label, vec, w).
-
-    Each step: the new list is ranked by the centroid of the context (forward), the lists of the context by that of the new list (backward), and the new
-    list is appended unless it is empty. A centroid that isn't there ranks nothing.
-    """
+def _step(s: Settings) -> Callable[[Column, Column], Column]:
+    """One step of the context: the new list is ranked by the centroid of the context (forward), the lists of the context by that of the new list (backward), and the
+    new list is appended unless it is empty. A centroid that isn't there ranks nothing."""
     rank, center = WEIGHTS[s.ranking], REPRESENTATIONS[s.representation]
 
     def step(acc: Column, g: Column) -> Column:
@@ -49,9 +47,14 @@ def fold_context(steps: Column, s: Settings = Settings()) -> Column:
             old = let(center(F.array(new), s.m), lambda hg: F.when(hg.isNotNull(), F.transform(acc, lambda old: rank(old, hg))).otherwise(acc))
             return F.when(F.size(new) > 0, F.concat(old, F.array(new))).otherwise(old)
 
-        return let(forward, backward)
+        return let(forward, backward).cast(f"array<array<{ELEMENT}>>")
+
+    return step
+
 
-    return F.aggregate(steps, F.array().cast(f"array<array<{ELEMENT}>>"), lambda acc, g: step(acc, g).cast(f"array<array<{ELEMENT}>>"))
+def fold_context(steps: Column, s: Settings = Settings()) -> Column:
+    """The active context after all steps: an array of lists, from an array of lists (one a step, in word order) of structs (label, vec, w)."""
+    return F.aggregate(steps, F.array().cast(f"array<array<{ELEMENT}>>"), _step(s))
 
 
 def _vocabulary(df: DataFrame, vectors: DataFrame, with_pos: bool) -> DataFrame:
@@ -100,22 +103,29 @@ def active_context(items: DataFrame, steps: DataFrame, s: Settings = Settings())
 
 
 def trace(steps: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(item_id, box, step, labels): the labels of the active context after each step, lists joined by ` || `."""
-    rows = steps.withColumn("step", F.explode(F.sequence(F.lit(1), F.size("steps"))))
-    state = fold_context(F.slice("steps", F.lit(1), F.col("step")), s)
-    labels = F.array_join(F.transform(state, lambda g: F.array_join(F.transform(g, lambda e: e["label"]), ", ")), " || ")
-    return rows.select("item_id", "box", "step", labels.alias("labels"))
+    """(item_id, box, step, labels): the labels of the active context after each step, lists joined by ` || `. The context is folded once."""
+    kind = f"struct<acc:array<array<{ELEMENT}>>,seen:array<string>>"
+    labels = lambda acc: F.array_join(F.transform(acc, lambda g: F.array_join(F.transform(g, lambda e: e["label"]), ", ")), " || ")
+    one = _step(s)
+    add = lambda state, g: let(one(state["acc"], g), lambda acc: F.struct(acc.alias("acc"), F.concat(state["seen"], F.array(labels(acc))).alias("seen"))).cast(kind)
+    seen = F.aggregate("steps", F.struct(F.array().alias("acc"), F.array().alias("seen")).cast(kind), add, lambda state: state["seen"])
+    return steps.select("item_id", "box", F.posexplode(seen).alias("step", "labels")).withColumn("step", F.col("step") + 1)
 
 
-def represent(items: DataFrame, graph: Graph, vectors: DataFrame, relations: dict[str, list[str]], s: Settings = Settings()) -> DataFrame:
-    """(item_id, item, target, lc, ac) of items (item_id, item, target, elements, relations). All lookups of all items are one join."""
+def steps_of(items: DataFrame, graph: Graph, vectors: DataFrame, relations: dict[str, list[str]], s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """(known words, context steps) of items (item_id, item, target, elements, relations). All lookups of all items are one join."""
     check_relations(items.select(F.explode("relations").alias("rel")), relations)
     words = known_words(items, vectors, s.with_pos)
     asked = requests_of(items).join(words.select("form", "pos").distinct(), ["form", "pos"], "left_semi")
     found = in_vocabulary(knowledge(graph, asked, relations, s.n, s.weight, s.stop), vectors, s.with_pos)
-    ac = active_context(items, context_steps(items, words, found, s), s)
+    return words, context_steps(items, words, found, s)
+
+
+def represent(items: DataFrame, graph: Graph, vectors: DataFrame, relations: dict[str, list[str]], s: Settings = Settings()) -> DataFrame:
+    """(item_id, item, target, lc, ac) of items (item_id, item, target, elements, relations)."""
+    words, steps = steps_of(items, graph, vectors, relations, s)
     lc = linguistic_conditions(words, items)
-    return items.select("item_id", "item", "target").join(lc, "item_id", "left").join(ac, "item_id", "left")
+    return items.select("item_id", "item", "target").join(lc, "item_id", "left").join(active_context(items, steps, s), "item_id", "left")
 
 
 def group_centroids(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:

@@ -37,10 +37,15 @@ def raw_tokens(parsed: Column) -> tuple[Column, Column]:
     return F.flatten(F.transform(kept, one)), bad
 
 
-def sentence_numbers(lines: DataFrame, file: str = "file_name", at: str = "line_no", blank: Column | None = None) -> DataFrame:
-    """`lines` with `sentence`: blank lines before the line in its file. Files are counted in chunks of CHUNK lines, so a large file is no single task."""
-    blank = F.col("line").isNull() | (strip(F.col("line"), ALL_BLANKS) == "") if blank is None else blank
-    marked = lines.withColumn("__chunk", F.floor(F.col(at) / CHUNK)).withColumn("__blank", blank.cast("bigint"))
+def is_blank(line: Column) -> Column:
+    """Ends a sentence: null, or nothing but white space."""
+    return line.isNull() | (strip(line, ALL_BLANKS) == "")
+
+
+def sentence_numbers(lines: DataFrame, file: str = "file_name", at: str = "line_no", chunk: Column | None = None, line: str = "line") -> DataFrame:
+    """`lines` with `sentence`: blank lines before the line in its file. A file is counted in chunks, by default of CHUNK lines, so a large one is no single task."""
+    chunk = F.floor(F.col(at) / CHUNK) if chunk is None else chunk
+    marked = lines.withColumn("__chunk", chunk).withColumn("__blank", is_blank(F.col(line)).cast("bigint"))
     own = marked.groupBy(file, "__chunk").agg(F.sum("__blank").alias("__k"))
     shift = own.select(file, "__chunk", F.coalesce(F.sum("__k").over(W.partitionBy(file).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
     within = F.coalesce(F.sum("__blank").over(W.partitionBy(file, "__chunk").orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -56,8 +61,10 @@ def line_sentences(lines: DataFrame, files: DataFrame | None = None, delimiter:
     number are left out.
     """
     rows = lines.filter(F.col("file_name").isNotNull() & F.col("line_no").isNotNull()).select("file_name", "line_no", "line", "loaded_at", "line_id")
-    rows = latest_rows(rows, ["file_name", "line_no"], "loaded_at", ["line_id"]).drop("loaded_at", "line_id")
-    parsed = parse_lines(sentence_numbers(rows), files, delimiter=delimiter, keep_odd=True).filter(F.col("id").isNotNull() | F.col("reason").isNotNull())
+    # repeats of a line and its sentence are found where its chunk lies: lines are moved once for both
+    rows = rows.withColumn("chunk", F.floor(F.col("line_no") / CHUNK)).repartition("file_name", "chunk")
+    rows = latest_rows(rows, ["file_name", "chunk", "line_no"], "loaded_at", ["line_id"]).drop("loaded_at", "line_id")
+    parsed = parse_lines(sentence_numbers(rows, chunk=F.col("chunk")), files, delimiter=delimiter, keep_odd=True).filter(F.col("id").isNotNull() | F.col("reason").isNotNull())
     whole = parsed.groupBy("file_name", "sentence").agg(F.array_sort(F.collect_list(F.struct("line_no", *FIELDS))).alias("parsed"), F.count_if(F.coalesce(F.col("reason").isin(*NO_FIELDS), F.lit(False))).alias("rejected"))
     tokens, bad = raw_tokens(F.col("parsed"))
     return whole.filter(F.col("rejected") == 0).filter(~bad).select("file_name", "sentence", tokens.alias("tokens")).filter(F.size("tokens") > 0)

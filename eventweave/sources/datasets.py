@@ -71,6 +71,11 @@ def write_results(df: DataFrame, path: str) -> None:
     _write(result_rows(df).orderBy("item_id").drop("item_id"), path)
 
 
+def write_trace(df: DataFrame, path: str) -> None:
+    """Steps of the active contexts in order: item, relation, step and labels."""
+    _write(df.orderBy("item_id", "box", "step").select("item_id", "box", "step", "labels"), path)
+
+
 def write_items(df: DataFrame, path: str) -> None:
     """Prepared items in order, with header."""
     _write(df.orderBy("item_id").select("item", F.col("target").alias("target-relation")), path)

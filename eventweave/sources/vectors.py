@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.functions.text import ALL_BLANKS, split_blank, strip
 from eventweave.functions.vectors import cut
-from eventweave.sources.files import head_lines
+from eventweave.sources.files import head_lines, read_vocabulary
 
-#: Rows of a matrix file that go to the cluster at once.
-ROWS = 50_000
+#: Rows of a matrix file that a task reads at once.
+ROWS = 20_000
 
 
 def _of(df: DataFrame, words: DataFrame | None) -> DataFrame:
@@ -34,25 +39,44 @@ def read_text_vectors(spark: SparkSession, path: str, words: DataFrame | None =
     return _of(out.groupBy("form").agg(F.max_by("vec", "at").alias("vec")), words)
 
 
+def _open(path: str):
+    """A file of any file system that all machines reach, for reading at any place."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
+    return system.open_input_file(name)
+
+
+def _matrix_header(path: str) -> tuple[tuple[int, ...], np.dtype, int]:
+    """(shape, type, where the numbers begin) of a matrix file in row order."""
+    with _open(path) as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        if by_column or len(shape) != 2 or kind.hasobject:
+            raise ValueError(f"{path} is no matrix of numbers in row order")
+        return shape, kind, f.tell()
+
+
 def read_matrix_vectors(spark: SparkSession, path: str, words: DataFrame | None = None, length: int = -1) -> DataFrame:
     """A matrix file (.npy) and its vocabulary beside it (.vocab): row i belongs to word i; `length` keeps the first numbers. Of rows with one word the last counts.
 
-    The file is mapped, not loaded, and sent in blocks of ROWS rows.
+    The driver reads the header only; tasks read ROWS rows each by their place in the file, which must be on a file system that all machines reach.
     """
-    import numpy as np
-
-    matrix = np.load(path, mmap_mode="r")
-    with open(path[:-4] + ".vocab", encoding="utf-8") as f:
-        vocab = [w for line in f for w in line.split()]
-    n = min(len(vocab), len(matrix))
-    parts = []
-    for lo in range(0, max(n, 1), ROWS):
-        rows = [(i, vocab[i], [float(x) for x in matrix[i]]) for i in range(lo, min(lo + ROWS, n))]
-        parts.append(spark.createDataFrame(rows, "at bigint, form string, vec array<double>"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.withColumn("vec", cut(F.col("vec"), length, False))
+    (n, dim), kind, begin = _matrix_header(path)
+    keep = dim if length < 0 else min(length, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _open(path) as f:
+            for b in batches:
+                for block in b.column(0).to_pylist():
+                    lo, hi = block * ROWS, min((block + 1) * ROWS, n)
+                    rows = np.frombuffer(f.read_at((hi - lo) * dim * kind.itemsize, begin + lo * dim * kind.itemsize), kind).reshape(hi - lo, dim)[:, :keep].astype(np.float64)
+                    offsets = np.arange(hi - lo + 1, dtype=np.int32) * keep
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))], names=["at", "vec"])
+
+    blocks = -(-n // ROWS)
+    matrix = spark.range(0, blocks, 1, max(1, min(blocks, 10_000))).mapInArrow(run, "at bigint, vec array<double>")
+    out = matrix.join(read_vocabulary(spark, path[:-4] + ".vocab").withColumnRenamed("word", "form"), "at")
     return _of(out.groupBy("form").agg(F.max_by("vec", "at").alias("vec")), words)
 
 

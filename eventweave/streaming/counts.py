@@ -8,16 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventweave.functions.labels import Labels
 from eventweave.functions.sets import explode_subsets
-from eventweave.functions.text import ALL_BLANKS, strip
 from eventweave.operators.counting import GROUP_LIMIT, event_freqs, lemma_freqs, merge_freqs
 from eventweave.operators.dependencies import build_dependencies, build_groups, keep_lemmas
 from eventweave.operators.sentences import text_sentences
+from eventweave.sources.conll import split_blocks
 
 
 def stream_sentences(spark: SparkSession, folder: str, delimiter: str = " ", files_per_trigger: int = 1000) -> DataFrame:
-    """(tokens) of the sentences of files as they arrive in a folder; a sentence with a line that isn't six fields is dropped."""
+    """(tokens) of the sentences of files as they arrive in a folder; a sentence with a line that isn't six fields is dropped.
+
+    Files are divided at empty lines and then at lines of white space; a file with carriage returns throughout is one row.
+    """
     texts = spark.readStream.option("lineSep", "\n\n").option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return text_sentences(texts.filter(strip(F.col("value"), ALL_BLANKS) != ""), "value", delimiter, strict=False)
+    return text_sentences(split_blocks(texts), "value", delimiter, strict=False)
 
 
 def stream_lemma_freqs(sentences: DataFrame, labels: Labels = Labels()) -> DataFrame:

@@ -94,12 +94,41 @@ def test_malformed_sentences(spark):
         text_sentences(texts).collect()
 
 
-def test_listing_and_loose(spark, folder, tmp_path):
+def test_listing_and_separators(spark, folder, tmp_path):
     assert conll.read_conll(spark, [folder]).count() == 3
-    (tmp_path / "w.txt").write_bytes(CORPUS.replace("\n\n", "\n \t\n").replace("\n", "\r\n").encode())
-    assert conll.read_conll(spark, [str(tmp_path / "w.txt")], loose=True).count() == 3
-    assert [len(r.lines) for r in conll.read_raw_sentences(spark, [str(tmp_path / "a.conll")]).collect()] == [5, 4, 4]
+    want = rows(conll.read_conll(spark, [str(tmp_path / "a.conll")]).select("tokens"))
+    variants = {"blanks": CORPUS.replace("\n\n", "\n \t\n"), "crlf": CORPUS.replace("\n", "\r\n"), "both": CORPUS.replace("\n\n", "\n \t\n\n\n").replace("\n", "\r\n"), "ends": "\n \n" + CORPUS.strip("\n"), "stray": CORPUS.replace("\n2 ", "  \n\t2 ")}
+    for name, text in variants.items():
+        (tmp_path / name).write_bytes(text.encode())
+        for compact in (False, True):
+            assert rows(conll.read_conll(spark, [str(tmp_path / name)], compact=compact).select("tokens")) == want, (name, compact)
+    assert [len(r.lines) for r in conll.read_raw_sentences(spark, [str(tmp_path / "crlf")]).orderBy(F.size("lines").desc()).collect()] == [5, 4, 4]
     assert conll.sentence_texts(spark, [str(tmp_path / "sub")]).count() == 3
+    (tmp_path / "empty").write_text("")
+    assert conll.read_conll(spark, [str(tmp_path / "empty")]).count() == 0
+
+
+def test_large_file_is_divided(spark, tmp_path):
+    """A file with carriage returns is read by many tasks, and sentences go over their bounds."""
+    n = 3000
+    (tmp_path / "w").write_bytes("".join(f"1 a w{i} N O x=2\r\n2 b b N O y=1\r\n{' ' * (i % 3)}\r\n" for i in range(n)).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path / "w")).rdd.getNumPartitions() > 10
+        got = conll.read_conll(spark, [str(tmp_path / "w")]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(tuple(t.lemma for t in r.tokens) for r in got) == sorted((f"w{i}", "b") for i in range(n))
+
+
+def test_parser_of_the_users(spark):
+    texts = spark.createDataFrame([("a b|c",), (None,), ("",)], "body string")
+    parser = lambda: lambda t: [[{"id": i + 1, "lemma": w, "extra": 1} for i, w in enumerate(s.split())] for s in t.split("|") if s]
+    got = conll.parse_texts(texts, parser, "body", str.upper).collect()
+    assert [[(t.id, t.lemma, t.head) for t in r.tokens] for r in got] == [[("1", "A", ""), ("2", "B", "")], [("1", "C", "")]]
 
 
 def test_refinements(spark):

@@ -10,7 +10,7 @@ from eventweave.operators import representation as r
 from eventweave.operators.evaluate import filler_similarity, pair_similarity
 from eventweave.operators.graph import Graph, import_graph
 from eventweave.operators.knowledge import check_relations, in_vocabulary, knowledge, requests_of, with_same_relations
-from eventweave.operators.ordering import average_ranks, number_rows, spearman
+from eventweave.operators.ordering import average_ranks, number_rows, spearman, spearman_p
 from eventweave.operators.prepare import pair_mapping, prepare_analogies, prepare_fit, prepare_pairs
 from eventweave.plans import models
 
@@ -168,3 +168,14 @@ def test_prepare_and_scores(spark):
     gold = spark.createDataFrame([(0, "ball", 3.0), (1, "oov", 3.0), (2, "ball", 1.0), (3, "ball", 1.0)], "row_id long, OBJECT string, mean_rat double")
     space = spark.createDataFrame([("ball", [1.0, 0.0])], "form string, vec array<double>")
     assert {x.row_id: x.sims for x in filler_similarity(res, gold, space).collect()} == {0: 1.0, 2: None, 3: 0.0}
+
+
+@pytest.mark.parametrize("n,rho,p", [(5, 0.8207826816681233, 0.08858700531354381), (3, 0.5, 2 / 3), (4, 0.0, 1.0), (10, 1.0, 0.0), (2, 0.5, None), (7, None, None)])
+def test_chance_of_a_rank_correlation(n, rho, p):
+    assert spearman_p(n, rho) == (p if p is None else pytest.approx(p, abs=1e-9))
+
+
+def test_chance_of_large_samples():
+    # for many rows the distribution is near the normal one: two standard deviations leave 4.55 percent
+    assert spearman_p(1_000_001, 0.002) == pytest.approx(0.0455, abs=1e-4)
+    assert spearman_p(1_000_001, -0.002) == spearman_p(1_000_001, 0.002)
