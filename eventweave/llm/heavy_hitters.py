@@ -138,8 +138,9 @@ def bounds(cells: DataFrame, depth: int, width: int, one_in: int) -> Bounds:
         mine = sketch.key[c] == key
         upper2 = np.minimum(upper2, sketch.total[c] + np.where(mine, 1, -1) * sketch.surplus[c])
         lower = np.maximum(lower, np.where(mine, sketch.surplus[c], 0))
-    keep = upper2 * one_in >= 2 * weight
-    hides = (sketch.total > 0) & ((sketch.total - sketch.surplus) * one_in >= 2 * weight)
+    least2 = -(-2 * weight // one_in)  # of twice the weight, rounded up: nothing is multiplied that may overflow
+    keep = upper2 >= least2
+    hides = (sketch.total > 0) & (sketch.total - sketch.surplus >= least2)
     hiding = [np.flatnonzero(hides[r * width : (r + 1) * width]).tolist() for r in range(depth)]
     return Bounds(weight, key[keep], lower[keep], upper2[keep] // 2, hiding)
 
@@ -171,7 +172,7 @@ def heavy_hitters(df: DataFrame, item: Column, weight: Column, one_in: int = 500
     few = hashed.filter(may_be_frequent(F.col("key"), found, depth, width))
     if names:
         few = few.groupBy(*names, "key", "item").agg(F.max("weight").alias("weight"))
-    exact = few.groupBy("item", "key").agg(F.sum("weight").alias("total")).filter(F.col("total") * one_in >= found.weight)
+    exact = few.groupBy("item", "key").agg(F.sum("weight").alias("total")).filter(F.col("total") >= -(-found.weight // one_in))
     if not found.weight:
         exact = exact.filter("false")
     spark = df.sparkSession
