@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,11 @@ def best_in(df: DataFrame, groups: list[str], order: list[Column], keep: int) ->
     return df.withColumn("__rank", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).filter(F.col("__rank") <= keep).drop("__rank")
 
 
+def two_stages(df: DataFrame, first: list[str], groups: list[str], order: list[Column], keep: int, between: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """The first `keep` rows of every group: ranked within the subgroups `first`, then the survivors within `groups`, which each subgroup lies in once `between` is done."""
+    return best_in(between(best_in(df, first, order, keep)), groups, order, keep)
+
+
 def top_n(df: DataFrame, groups: list[str], score: list[Column], identifier: list[str], n: int, salts: int = 32) -> DataFrame:
     """The `n` best rows of every group by `score`, ties by `identifier` ascending.
 
@@ -23,8 +30,7 @@ def top_n(df: DataFrame, groups: list[str], score: list[Column], identifier: lis
     """
     order = [*score, *[F.col(c).asc_nulls_last() for c in identifier]]
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*identifier), F.lit(salts)).cast("int"))
-    few = best_in(salted, [*groups, "__salt"], order, n).drop("__salt")
-    return best_in(few, groups, order, n)
+    return two_stages(salted, [*groups, "__salt"], groups, order, n, lambda few: few.drop("__salt"))
 
 
 def strongest_events(edges: DataFrame, words: DataFrame, n: int = 10, salts: int = 32, only_over: bool = True) -> DataFrame:
@@ -41,12 +47,10 @@ def strongest_events(edges: DataFrame, words: DataFrame, n: int = 10, salts: int
     e = latest_rows(e, ["word_id", "salt", "event_id", "role"], "loaded_at", ["pmi", "freq", "slice_id"])
     e = e.filter(F.col("pmi").isNotNull() & ~F.isnan("pmi")).drop("loaded_at")
     order = [F.col("pmi").desc(), F.col("freq").desc_nulls_last(), F.col("event_id").asc_nulls_last(), F.col("word_id").asc()]
-    # one more than asked for tells whether a group has more than n
-    e = best_in(e, ["word_id", "salt", "slice_id", "role"], order, n + 1).drop("salt")
     forms = words.filter(F.col("wordid").isNotNull() & F.col("form").isNotNull()).groupBy(F.col("wordid").alias("word_id")).agg(F.max(word_key(F.col("form"))).alias("form"))
-    e = e.join(forms, "word_id")
     groups = ["slice_id", "form", "role"]
-    e = best_in(e, groups, order, n + 1)
+    # one more than asked for tells whether a group has more than n
+    e = two_stages(e, ["word_id", "salt", "slice_id", "role"], groups, order, n + 1, lambda few: few.drop("salt").join(forms, "word_id"))
     w = W.partitionBy(*groups)
     e = e.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("size", F.count(F.lit(1)).over(w))
     if only_over:
