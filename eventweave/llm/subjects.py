@@ -156,9 +156,10 @@ def trusted_seeds(known: DataFrame, total: DataFrame, k: int, g: Graph) -> DataF
     """
     counts = materialize(_by_document(known, "seed", k), "counts")
     links = _Links(k, _shares(_mixture(counts, k)), g.prior)
-    met = known.select("uid", "doc_id", "seed", F.explode("terms").alias("term")).join(counts, "term")
+    met = known.select("uid", "doc_id", "seed", F.explode("terms").alias("term"))
     others = F.transform(F.array(*_n(k)), lambda n, i: F.greatest(n - F.array_contains("seed", i).cast("double") / F.size("seed"), F.lit(0.0)))
-    votes = _sum(links.votes(met.filter(sum(_n(k), F.lit(0.0)) > 1.001), others, ["uid", "doc_id"], g.agreement / 2), ["uid", "doc_id"], k)
+    kinds = met.select("term", "seed").distinct().join(counts, "term").filter(sum(_n(k), F.lit(0.0)) > 1.001)  # judged once for all documents with the same labels
+    votes = _sum(met.join(links.votes(kinds, others, ["term", "seed"], g.agreement / 2), ["term", "seed"]), ["uid", "doc_id"], k)
     best = votes.select("doc_id", _best(k, g.similarity / 2, 0.0).alias("k")).filter(F.col("k").isNotNull()).groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("votes"))
     given = known.groupBy("doc_id").agg(F.first("seed").alias("seed"), F.first("agreed").alias("agreed"))
     label = given.select("doc_id", "agreed", F.explode("seed").alias("k")).join(best, ["doc_id", "k"], "left").join(total, "doc_id")
@@ -226,12 +227,14 @@ def propagate(docs: DataFrame, labels: DataFrame, subjects: list[str], g: Graph
     trusted = trusted_seeds(labelled, total, k, g)
     hinted = few(trusted, BROADCAST_SEEDS)
     counts = _first_counts(labelled.join(hinted, "doc_id"), k, g)
-    mass, first = _mixture(counts, k), True
+    mass, first, found = _mixture(counts, k), True, None
     for r in range(g.rounds + 1):
         links = _Links(k, _shares(mass), g.prior if first else 2 * g.prior)
         sound = sum(_n(k), F.lit(0.0)) >= F.greatest(F.lit(g.links - 1e-6), F.lit(0.0) if first else g.coverage * F.col("frequency"))
         terms = materialize(links.votes(counts.filter(sound), F.array(*[x.cast("double") for x in _n(k)]), ["term"], g.agreement), "terms")
-        found = _label(rows, few(terms, BROADCAST_TERMS), hinted, k, g)
+        old, found = found, _label(rows, few(terms, BROADCAST_TERMS), hinted, k, g).persist()  # counted here, and read once more if it is the last
+        if old is not None:
+            old.unpersist()
         if r == g.rounds:
             break
         joined = rows.select("uid", "terms").join(found.filter(~F.col("clamped")).select("uid", "k").hint("shuffle_hash"), "uid", "left")
@@ -250,6 +253,7 @@ def propagate(docs: DataFrame, labels: DataFrame, subjects: list[str], g: Graph
     kept = trusted.select("doc_id", F.explode("own").alias("k"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("trusted"))
     out = per.unionByName(kept).groupBy("doc_id", "k").agg(F.sum("n").alias("n"), F.max("trusted").alias("trusted")).join(total, "doc_id")
     out = materialize(out.select("doc_id", F.get(names, F.col("k")).alias("subject"), "n", "sentences", "trusted"), "subjects")
+    found.unpersist()
     release(given, texts, rows, total, trusted, counts, terms)
     return out
 
