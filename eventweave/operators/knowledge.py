@@ -38,6 +38,32 @@ def requests_of(items: DataFrame) -> DataFrame:
     return e.filter(F.col("rel") != F.col("box")).distinct()
 
 
+def lookups(graph: Graph, requests: DataFrame, relations: dict[str, list[str]], n: int = 50, weight: str = "pmi", stop: tuple[str, ...] = STOP_NODES) -> tuple[DataFrame, DataFrame]:
+    """`knowledge` with a number for the word of a request: ((node, form, pos), (node, rel, box, rank, label, label_pos, role, role2, w)).
+
+    The number is the least id of the words with that form and tag. What is moved is ids, roles and weights; labels join when paths are summed by the id of
+    the far word. Edges of other roles are left out before repeats are resolved, in partitions by event, where the far edges stay for the hop.
+    """
+    roles = F.broadcast(relation_roles(relations, requests))  # the relation map, one row per relation and role
+    key = lambda c: F.coalesce(c, F.lit("\x00"))  # noqa: E731 — null roles join as a value
+    wanted = requests.filter(F.col("rel") != F.col("box")).groupBy("form", "pos", "rel").agg(F.collect_set("box").alias("boxes"))  # relations are few
+    asked = graph.words.select("word_id", "form", "pos").withColumn("node", F.min("word_id").over(W.partitionBy("form", "pos"))).join(wanted, ["form", "pos"])
+    known = sorted({"\x00" if r == "None" else r for of in relations.values() for r in of})
+    args = graph.args.filter(key(F.col("role")).isin(*known))
+    near = args.select("event_id", "word_id", "role", F.lit(None).cast("double").alias("pmi"))
+    near = near.withColumn("__in", key(F.col("role"))).join(roles.select("rel", key(F.col("role")).alias("__in")), "__in").drop("__in")
+    near = near.join(asked.select("word_id", "rel", "node", "boxes"), ["word_id", "rel"])
+    far = two_hops(near, args, ["node", "rel", "boxes"])
+    far = far.withColumn("__out", key(F.col("role2"))).join(roles.select(F.col("rel").alias("box"), key(F.col("role")).alias("__out")), "__out").filter(F.array_contains("boxes", F.col("box")))
+    m = graph.words.filter(~F.col("form").isin(*stop)).select("word_id", F.col("form").alias("label"), F.col("pos").alias("label_pos"))
+    request = ["node", "rel", "box"]
+    sums = far.groupBy(*request, "role", "role2", "word_id").agg(weight_to_extract(weight).alias("w"))
+    sums = sums.join(m, "word_id").groupBy(*request, "role", "role2", "label", "label_pos").agg(F.sum("w").alias("w"))
+    order = [F.col("w").desc(), F.col("label").asc(), F.col("label_pos").asc(), F.col("role").asc_nulls_first(), F.col("role2").asc_nulls_first()]
+    ranked = sums.withColumn("rank", F.row_number().over(W.partitionBy(*request).orderBy(*order))).filter(F.col("rank") <= n)
+    return asked.select("node", "form", "pos").distinct(), ranked.select(*request, "rank", "label", "label_pos", "role", "role2", "w")
+
+
 def knowledge(graph: Graph, requests: DataFrame, relations: dict[str, list[str]], n: int = 50, weight: str = "pmi", stop: tuple[str, ...] = STOP_NODES) -> DataFrame:
     """(form, pos, rel, box, rank, label, label_pos, role, role2, w): the `n` best rows of every request (form, pos, rel, box), all answered at once.
 
@@ -46,21 +72,8 @@ def knowledge(graph: Graph, requests: DataFrame, relations: dict[str, list[str]]
 
     Edges are filtered by the requested words and roles before the hop; the map is one row per relation and role.
     """
-    roles = F.broadcast(relation_roles(relations, requests))  # the relation map, one row per relation and role
-    key = lambda c: F.coalesce(c, F.lit("\x00"))  # noqa: E731 — null roles join as a value
-    near = graph.args.select("event_id", "word_id", "role", "pmi").join(graph.words.select("word_id", "form", "pos"), "word_id")
-    near_roles = roles.select("rel", key(F.col("role")).alias("__in"))
-    near = near.withColumn("__in", key(F.col("role"))).join(near_roles, "__in").drop("__in")
-    wanted = requests.select("form", "pos", "rel", "box").distinct()
-    near = near.join(wanted, ["form", "pos", "rel"]).filter(F.col("rel") != F.col("box"))
-    far = two_hops(near, graph.args, ["form", "pos", "rel", "box"])
-    far = far.withColumn("__out", key(F.col("role2"))).join(roles.select(F.col("rel").alias("box"), key(F.col("role")).alias("__out")), ["box", "__out"])
-    m = graph.words.filter(~F.col("form").isin(*stop)).select("word_id", F.col("form").alias("label"), F.col("pos").alias("label_pos"))
-    request = ["form", "pos", "rel", "box"]
-    sums = far.join(m, "word_id").groupBy(*request, "role", "role2", "label", "label_pos").agg(weight_to_extract(weight).alias("w"))
-    order = [F.col("w").desc(), F.col("label").asc(), F.col("label_pos").asc(), F.col("role").asc_nulls_first(), F.col("role2").asc_nulls_first()]
-    ranked = sums.withColumn("rank", F.row_number().over(W.partitionBy(*request).orderBy(*order))).filter(F.col("rank") <= n)
-    return ranked.select(*request, "rank", "label", "label_pos", "role", "role2", "w")
+    names, ranked = lookups(graph, requests, relations, n, weight, stop)
+    return ranked.join(names, "node").select("form", "pos", "rel", "box", "rank", "label", "label_pos", "role", "role2", "w")
 
 
 def in_vocabulary(found: DataFrame, vectors: DataFrame, with_pos: bool = False) -> DataFrame:

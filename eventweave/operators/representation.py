@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from eventweave.functions.labels import STOP_NODES
 from eventweave.functions.vectors import REPRESENTATIONS, WEIGHTS, let, mean
+from eventweave.operators.folding import Fold, vectors_of
 from eventweave.operators.graph import Graph
-from eventweave.operators.knowledge import check_relations, in_vocabulary, knowledge, requests_of
+from eventweave.operators.knowledge import check_relations, in_vocabulary, knowledge, lookups, requests_of
+from eventweave.session import materialize
 
 ELEMENT = "struct<label:string,vec:array<double>,w:double>"
 SENTENCE = "SENTENCE"
+#: Bytes of vectors that every task may hold.
+HELD = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,17 @@ class Settings:
     stop: tuple[str, ...] = STOP_NODES
 
 
+@dataclass(frozen=True)
+class Space:
+    """Vectors that forms share: forms (form, vec_id), one row a form, and vectors (vec_id, vec). With `with_pos` forms are keyed `form/pos`."""
+
+    forms: DataFrame
+    vectors: DataFrame
+
+    def joined(self) -> DataFrame:
+        return self.forms.join(self.vectors, "vec_id").select("form", "vec")
+
+
 def _step(s: Settings) -> Callable[[Column, Column], Column]:
     """One step of the context: the new list is ranked by the centroid of the context (forward), the lists of the context by that of the new list (backward), and the
     new list is appended unless it is empty. A centroid that isn't there ranks nothing."""
@@ -121,11 +136,63 @@ def steps_of(items: DataFrame, graph: Graph, vectors: DataFrame, relations: dict
     return words, context_steps(items, words, found, s)
 
 
-def represent(items: DataFrame, graph: Graph, vectors: DataFrame, relations: dict[str, list[str]], s: Settings = Settings()) -> DataFrame:
-    """(item_id, item, target, lc, ac) of items (item_id, item, target, elements, relations)."""
+def _shared(space: Space, s: Settings) -> tuple[Fold, DataFrame] | None:
+    """What tasks hold to fold with a table of vectors, and (form, id) with its row numbers. None if the vectors are too large to be held or of several lengths,
+    or for functions other than the ones that `folding` has."""
+    n, distinct, there, least, most = space.vectors.agg(F.count(F.lit(1)), F.count_distinct("vec_id"), F.count("vec"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if not n or not n == distinct == there or not 0 < least == most or n * most * 8 > HELD or (s.ranking, s.representation) != ("cosine", "centroid") or s.m < 1:
+        return None
+    got = space.vectors.select("vec_id", "vec").toArrow().combine_chunks().sort_by("vec_id")
+    flat = got.column("vec").combine_chunks().flatten()
+    if flat.null_count:
+        return None
+    ids = space.vectors.sparkSession.createDataFrame([(x, i) for i, x in enumerate(got.column("vec_id").to_pylist())], "vec_id long, id int")
+    return Fold(flat.to_numpy().reshape(n, most), s.m, s.rank_forward, s.rank_backward), space.forms.join(F.broadcast(ids), "vec_id").select("form", "id")  # as many as vectors
+
+
+def known_rows(items: DataFrame, graph: Graph, forms: DataFrame, relations: dict[str, list[str]], s: Settings, keep: list[str]) -> DataFrame:
+    """(*keep, word), a row for every word of items (*keep, target, elements, relations), also of items without any: null for words that aren't among `forms`
+    (form, id), else a struct (step, rel, id, counts, lists): whether the word counts for the target, and for each relation that does the ids of what is known.
+
+    Lookups are answered once for all items that have them, written as ids, and joined with the words.
+    """
+    check_relations(items.select(F.explode("relations").alias("rel")), relations)
+    key = lambda form, pos: F.concat_ws("/", form, pos) if s.with_pos else F.col(form)
+    forms = forms.select(F.col("form").alias("__key"), "id")
+    words = items.select(F.explode("elements").alias("e")).select("e.form", "e.pos", "e.rel").distinct()
+    words = words.withColumn("__key", key("form", "pos")).join(forms, "__key").drop("__key")
+    asked = requests_of(items).join(words.select("form", "pos").distinct(), ["form", "pos"], "left_semi")
+    names, ranked = lookups(graph, asked, relations, s.n, s.weight, s.stop)
+    found = ranked.select("node", "rel", "box", "rank", key("label", "label_pos").alias("__key")).join(forms, "__key")
+    lists = found.groupBy("node", "rel", "box").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))  # at most n
+    lists = lists.groupBy("node", "rel").agg(F.collect_list(F.struct("box", "ids")).alias("lists"))  # one entry a relation
+    words = materialize(words.join(lists.join(names, "node").select("form", "pos", "rel", "lists"), ["form", "pos", "rel"], "left"), "lists")
+
+    rows = items.select(*keep, F.col("target").alias("__target"), F.col("relations").alias("__relations"), F.posexplode_outer("elements").alias("step", "e"))
+    rows = rows.select(*keep, "__target", "__relations", "step", "e.form", "e.pos", "e.rel").join(words, ["form", "pos", "rel"], "left")
+    counts = lambda rel: F.coalesce((F.col("__target") == SENTENCE) | (F.col("__target") == rel), F.lit(False))
+    none = F.array().cast("array<struct<box:string,ids:array<int>>>")
+    own = F.array(F.struct(F.col("rel").alias("box"), F.array("id").alias("ids"))) if s.include_same else none
+    lists = F.filter(F.concat(F.coalesce("lists", none), own), lambda x: counts(x["box"]) & F.array_contains("__relations", x["box"]))
+    return rows.select(*keep, F.when(F.col("id").isNotNull(), F.struct("step", "rel", "id", counts(F.col("rel")).alias("counts"), lists.alias("lists"))).alias("word"))
+
+
+def represent(items: DataFrame, graph: Graph, vectors: DataFrame | Space, relations: dict[str, list[str]], s: Settings = Settings()) -> DataFrame:
+    """(item_id, item, target, lc, ac) of items (item_id, item, target, elements, relations); `item` may be missing.
+
+    With a `Space` whose vectors tasks can hold, items are moved with the numbers of vectors only, and no vector is moved at all.
+    """
+    out = [c for c in ("item", "target") if c in items.columns]
+    if isinstance(vectors, Space):
+        if shared := _shared(vectors, s):
+            rows = known_rows(items, graph, shared[1], relations, s, ["item_id", *out]).repartition("item_id")
+            rows = rows.groupBy("item_id").agg(*[F.first(c).alias(c) for c in out], F.array_sort(F.collect_list("word")).alias("words"))
+            kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes if c != "words")
+            return rows.mapInArrow(vectors_of(shared[0], {"words": ("lc", "ac")}), f"{kinds}, lc array<double>, ac array<double>")
+        vectors = vectors.joined()
     words, steps = steps_of(items, graph, vectors, relations, s)
     lc = linguistic_conditions(words, items)
-    return items.select("item_id", "item", "target").join(lc, "item_id", "left").join(active_context(items, steps, s), "item_id", "left")
+    return items.select("item_id", *out).join(lc, "item_id", "left").join(active_context(items, steps, s), "item_id", "left")
 
 
 def group_centroids(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:

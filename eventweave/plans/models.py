@@ -12,12 +12,12 @@ from eventweave.functions import vectors as v
 from eventweave.functions.sets import relations_of
 from eventweave.operators import representation as r
 from eventweave.operators.evaluate import pair_similarity
-from eventweave.operators.graph import Graph
+from eventweave.operators.graph import Graph, delivered_graph
 from eventweave.operators.knowledge import in_vocabulary, knowledge, requests_of
 from eventweave.operators.ordering import number_rows, spearman
 from eventweave.operators.prepare import EXPERIMENTS, pair_mapping, prepare_analogies, prepare_fit, prepare_pairs
 from eventweave.plans.graphs import GRAPH_SQL, RELATIONS, STOP, delivered, thousandths
-from eventweave.session import table
+from eventweave.session import materialize, table
 
 SETTINGS = r.Settings(n=20, m=5, stop=STOP)
 HEAD = 30
@@ -27,12 +27,21 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
 
 
-def _space(spark: SparkSession, sf: str, d: Graph) -> DataFrame:
+def _shared_space(spark: SparkSession, sf: str, d: Graph) -> r.Space:
     """A vector space for the words of the graph: the form of word id i has vector i modulo their number."""
     e = _vectors(spark, sf)
     n = e.count()
-    forms = d.words.groupBy("form").agg(F.max("word_id").alias("word_id"))
-    return forms.join(e.select("vec_id", "vec"), F.col("word_id") % n == F.col("vec_id")).select("form", "vec")
+    return r.Space(d.words.groupBy("form").agg((F.max("word_id") % n).alias("vec_id")), e.select("vec_id", "vec"))
+
+
+def _space(spark: SparkSession, sf: str, d: Graph) -> DataFrame:
+    return _shared_space(spark, sf, d).joined()
+
+
+def _lookup_graph(spark: SparkSession, sf: str) -> Graph:
+    """The delivered graph for lookups over all items: words are read several times and written, edges are moved once, by event."""
+    d = thousandths(delivered_graph(table(spark, sf, "words_nodes"), table(spark, sf, "events_nodes"), table(spark, sf, "event_word_edges").repartition("event_id")))
+    return Graph(materialize(d.words, "words"), d.events, d.args)
 
 
 def _triples(d: Graph) -> DataFrame:
@@ -164,8 +173,8 @@ def gek_batched(spark: SparkSession, sf: str) -> DataFrame:
 
 def ac_vector(spark: SparkSession, sf: str) -> DataFrame:
     """Both vectors of every item, one row a number."""
-    d = thousandths(delivered(spark, sf))
-    out = r.represent(_items(_triples(d)), d, _space(spark, sf, d), RELATIONS, SETTINGS)
+    d = _lookup_graph(spark, sf)
+    out = r.represent(_items(_triples(d)).drop("item"), d, _shared_space(spark, sf, d), RELATIONS, SETTINGS)
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("vec")) for c in ("lc", "ac")]))
     return _opened(out.select("item_id", "target", both.alias("v")).select("item_id", "target", "v.*"), ["item_id", "target", "kind"])
 

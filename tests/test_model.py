@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -109,6 +110,49 @@ def test_represent(spark, graph):
     assert same[1] == [0.5, 0.5]
 
 
+def moved(df, capsys):
+    """Names of the columns that any exchange of the plan moves."""
+    df.explain("formatted")
+    return {c.split("#")[0].strip() for x in re.findall(r"Exchange[^\n]*\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out) for c in x.split(",")}
+
+
+def shared_case(spark, graph, seed=5):
+    """Items over a graph of random edges; vectors of which several forms share one, and one is zero; forms without a vector."""
+    rnd = random.Random(seed)
+    words = spark.createDataFrame([(i, f"w{i}", "NV"[i % 2], 1, 0.1) for i in range(30)], graph.words.schema)
+    edges = {(e, rnd.randrange(30), role): None for e in range(150) for role in ("nsubj", None, "dobj")}
+    args = spark.createDataFrame([(*k, 1, float(rnd.randint(-5, 9))) for k in edges], graph.args.schema)
+    vectors = [(i, [0.0] * 3 if i == 4 else [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(9)]
+    space = r.Space(spark.createDataFrame([(f"w{i}", i % 11) for i in range(28)], "form string, vec_id long"), spark.createDataFrame(vectors, "vec_id long, vec array<double>"))
+    word = lambda rel: (f"w{rnd.randrange(32)}", rnd.choice("NV"), rel)
+    rels = ("SBJ", "ROOT", "OBJ", "SBJ", "OBJ")
+    items = items_of(spark, [(i, f"i{i}", rnd.choice(("SENTENCE", "OBJ", "SBJ")), [word(rel) for rel in rels[: rnd.randrange(6)]]) for i in range(120)])
+    return items, Graph(words, graph.events, args), space
+
+
+@pytest.mark.parametrize("forward,backward,same", [(True, True, False), (True, False, True), (False, True, False), (False, False, True)])
+def test_shared_vectors(spark, graph, forward, backward, same):
+    items, d, space = shared_case(spark, graph)
+    s = r.Settings(n=8, m=2, rank_forward=forward, rank_backward=backward, include_same=same)
+    want, got = ({x.item_id: x for x in r.represent(items, d, v, RELATIONS, s).collect()} for v in (space.joined(), space))
+    assert want == got and sum(x.ac is None for x in got.values()) > 5 and sum(x.ac is not None for x in got.values()) > 50
+
+
+@pytest.mark.parametrize("held,short", [(0, False), (1 << 20, True)])
+def test_vectors_that_tasks_cannot_hold(spark, graph, monkeypatch, held, short):
+    items, d, space = shared_case(spark, graph)
+    monkeypatch.setattr(r, "HELD", held)
+    vectors = space.vectors.withColumn("vec", F.when(F.col("vec_id") > (99 if not short else 6), F.slice("vec", 1, 2)).otherwise(F.col("vec")))
+    assert r._shared(r.Space(space.forms, vectors), r.Settings()) is None
+    if not short:
+        assert r.represent(items, d, space, RELATIONS).count() == 120
+
+
+def test_ac_vector_moves_no_vectors(spark, capsys):
+    names = moved(models.ac_vector(spark, "/root/testdata/sf0.001"), capsys)
+    assert "word_id" not in names and "item_id" in names and not names & {"vec", "lc", "ac", "list", "steps", "all", "lc_all"}
+
+
 def test_import(spark, graph):
     twice = graph.words.union(graph.words)
     args = graph.args.union(spark.createDataFrame([(9, 1, "x", 1, 1.0), (1, 99, "x", 1, 1.0)], graph.args.schema))
