@@ -16,6 +16,11 @@ def pair_similarity(mapping: DataFrame, results: DataFrame, gold: DataFrame) ->
     return gold.join(rows.select(F.col("orig").alias("row_id"), cosine_or_zero(F.col("__a"), F.col("__b")).alias("sims")), "row_id")
 
 
+def context_similarity(pairs: DataFrame, gold: DataFrame) -> DataFrame:
+    """`pair_similarity` of pairs (orig, ac1, ac2) that come with both vectors."""
+    return gold.join(pairs.select(F.col("orig").alias("row_id"), cosine_or_zero(F.col("ac1"), F.col("ac2")).alias("sims")), "row_id")
+
+
 def filler_similarity(results: DataFrame, gold: DataFrame, vectors: DataFrame) -> DataFrame:
     """`gold` (row_id, mean_rat, column of fillers) with `sims`, the cosine of the context vector and that of the filler in the column of the target.
 

@@ -195,6 +195,20 @@ def represent(items: DataFrame, graph: Graph, vectors: DataFrame | Space, relati
     return items.select("item_id", *out).join(lc, "item_id", "left").join(active_context(items, steps, s), "item_id", "left")
 
 
+def represent_pairs(mapping: DataFrame, items: DataFrame, graph: Graph, vectors: DataFrame | Space, relations: dict[str, list[str]], s: Settings = Settings()) -> DataFrame:
+    """(orig, ac1, ac2): the context vectors of both items of every pair (orig, row1, row2), where `orig` is distinct. Pairs with an item that isn't there are left out."""
+    if isinstance(vectors, Space) and (shared := _shared(vectors, s)):
+        sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"row{i}").alias("item_id")) for i in (1, 2)]))
+        both = mapping.select("orig", sides.alias("x")).select("orig", "x.*").join(items, "item_id")
+        rows = known_rows(both, graph, shared[1], relations, s, ["orig", "side"]).repartition("orig")
+        words = [F.array_sort(F.collect_list(F.when(F.col("side") == i, F.col("word")))).alias(f"words{i}") for i in (1, 2)]
+        rows = rows.groupBy("orig").agg(F.min("side").alias("a"), F.max("side").alias("b"), *words).filter("a < b").drop("a", "b")
+        return rows.mapInArrow(vectors_of(shared[0], {"words1": (None, "ac1"), "words2": (None, "ac2")}), f"orig {dict(rows.dtypes)['orig']}, ac1 array<double>, ac2 array<double>")
+    v = represent(items, graph, vectors, relations, s).select("item_id", "ac")
+    one, two = (v.select(F.col("item_id").alias(f"row{i}"), F.col("ac").alias(f"ac{i}")) for i in (1, 2))
+    return mapping.join(one, "row1").join(two, "row2").select("orig", "ac1", "ac2")
+
+
 def group_centroids(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """(key, vec): the mean vector of each group, for groups of any size: dimensions are averaged one by one with partial sums."""
     per = df.select(key, F.posexplode(vec).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eventweave.functions import vectors as v
 from eventweave.functions.sets import relations_of
 from eventweave.operators import representation as r
-from eventweave.operators.evaluate import pair_similarity
+from eventweave.operators.evaluate import context_similarity
 from eventweave.operators.graph import Graph, delivered_graph
 from eventweave.operators.knowledge import in_vocabulary, knowledge, requests_of
 from eventweave.operators.ordering import number_rows, spearman
@@ -146,8 +146,12 @@ def prepare_tfit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _paired(_triples(delivered(spark, sf)))
+
+
+def _paired(triples: DataFrame) -> DataFrame:
     """Consecutive triples as sentence pairs, scored by the smaller of their frequencies."""
-    t = _triples(delivered(spark, sf)).withColumn("pair", F.floor(F.col("row_id") / 2))
+    t = triples.withColumn("pair", F.floor(F.col("row_id") / 2))
     one = t.filter(F.col("row_id") % 2 == 0).select(F.col("pair").alias("row_id"), F.col("s").alias("subject1"), F.col("v").alias("verb1"), F.col("o").alias("object1"), F.col("freq").alias("f1"))
     two = t.filter(F.col("row_id") % 2 == 1).select(F.col("pair").alias("row_id"), F.col("s").alias("subject2"), F.col("v").alias("verb2"), F.col("o").alias("object2"), F.col("freq").alias("f2"))
     return one.join(two, "row_id").withColumn("score", F.least("f1", "f2").cast("double")).drop("f1", "f2")
@@ -191,10 +195,11 @@ def ac_first_step(spark: SparkSession, sf: str) -> DataFrame:
 
 def ks_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of sentences, their context vectors' similarity and its rank correlation with the score."""
-    d = thousandths(delivered(spark, sf))
-    pairs = _pairs(spark, sf)
-    items = _items(_triples(d)).withColumn("target", F.lit("SENTENCE"))
-    sims = pair_similarity(pair_mapping(pairs), r.represent(items, d, _space(spark, sf, d), RELATIONS, SETTINGS), pairs.select("row_id", "score"))
+    d = _lookup_graph(spark, sf)
+    triples = _triples(d)
+    pairs = _paired(triples)
+    items = _items(triples).drop("item").withColumn("target", F.lit("SENTENCE"))
+    sims = context_similarity(r.represent_pairs(pair_mapping(pairs), items, d, _shared_space(spark, sf, d), RELATIONS, SETTINGS), pairs.select("row_id", "score"))
     return spearman(sims, "score", "sims").withColumn("rho", F.round("rho", 6))
 
 

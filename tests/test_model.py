@@ -153,6 +153,19 @@ def test_ac_vector_moves_no_vectors(spark, capsys):
     assert "word_id" not in names and "item_id" in names and not names & {"vec", "lc", "ac", "list", "steps", "all", "lc_all"}
 
 
+def test_represent_pairs(spark, graph):
+    items, d, space = shared_case(spark, graph)
+    mapping = spark.createDataFrame([(i, 2 * i, 2 * i + 1) for i in range(62)], "orig long, row1 int, row2 int")
+    want, got = ({x.orig: x for x in r.represent_pairs(mapping, items, d, v, RELATIONS, r.Settings(n=8, m=2)).collect()} for v in (space.joined(), space))
+    assert want == got and len(got) == 60
+
+
+def test_ks_scores_moves_no_vectors(spark, capsys, monkeypatch):
+    monkeypatch.setattr(models, "spearman", lambda df, x, y: df.withColumn("rho", F.lit(0.0)))
+    names = moved(models.ks_scores(spark, "/root/testdata/sf0.001"), capsys)
+    assert names and not names & {"vec", "lc", "ac", "list", "steps", "all", "lc_all", "__a", "ac1"}
+
+
 def test_import(spark, graph):
     twice = graph.words.union(graph.words)
     args = graph.args.union(spark.createDataFrame([(9, 1, "x", 1, 1.0), (1, 99, "x", 1, 1.0)], graph.args.schema))
