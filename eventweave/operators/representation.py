@@ -199,7 +199,7 @@ def represent_pairs(mapping: DataFrame, items: DataFrame, graph: Graph, vectors:
     """(orig, ac1, ac2): the context vectors of both items of every pair (orig, row1, row2), where `orig` is distinct. Pairs with an item that isn't there are left out."""
     if isinstance(vectors, Space) and (shared := _shared(vectors, s)):
         sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"row{i}").alias("item_id")) for i in (1, 2)]))
-        both = mapping.select("orig", sides.alias("x")).select("orig", "x.*").join(items, "item_id")
+        both = materialize(mapping.select("orig", sides.alias("x")).select("orig", "x.*").join(items.select("item_id", "target", "elements", "relations"), "item_id"), "pairs")
         rows = known_rows(both, graph, shared[1], relations, s, ["orig", "side"]).repartition("orig")
         words = [F.array_sort(F.collect_list(F.when(F.col("side") == i, F.col("word")))).alias(f"words{i}") for i in (1, 2)]
         rows = rows.groupBy("orig").agg(F.min("side").alias("a"), F.max("side").alias("b"), *words).filter("a < b").drop("a", "b")

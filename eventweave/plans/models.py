@@ -178,7 +178,7 @@ def gek_batched(spark: SparkSession, sf: str) -> DataFrame:
 def ac_vector(spark: SparkSession, sf: str) -> DataFrame:
     """Both vectors of every item, one row a number."""
     d = _lookup_graph(spark, sf)
-    out = r.represent(_items(_triples(d)).drop("item"), d, _shared_space(spark, sf, d), RELATIONS, SETTINGS)
+    out = r.represent(_items(materialize(_triples(d), "triples")).drop("item"), d, _shared_space(spark, sf, d), RELATIONS, SETTINGS)
     both = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("vec")) for c in ("lc", "ac")]))
     return _opened(out.select("item_id", "target", both.alias("v")).select("item_id", "target", "v.*"), ["item_id", "target", "kind"])
 
@@ -196,7 +196,7 @@ def ac_first_step(spark: SparkSession, sf: str) -> DataFrame:
 def ks_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of sentences, their context vectors' similarity and its rank correlation with the score."""
     d = _lookup_graph(spark, sf)
-    triples = _triples(d)
+    triples = materialize(_triples(d), "triples")
     pairs = _paired(triples)
     items = _items(triples).drop("item").withColumn("target", F.lit("SENTENCE"))
     sims = context_similarity(r.represent_pairs(pair_mapping(pairs), items, d, _shared_space(spark, sf, d), RELATIONS, SETTINGS), pairs.select("row_id", "score"))
